@@ -1,7 +1,7 @@
 """Shared pieces of the training-data operators: shared storage, lineage cuts, word hashing.
 
 Words are maximal runs of bytes above 0x20 in the UTF-8 text; every other byte separates.
-All hashing is vectorised over the Arrow string buffers, a few megabytes at a time, so a
+All hashing is vectorised over the Arrow string buffers, a megabyte at a time, so a
 worker's memory follows the chunk size and not the batch (one very long text is a chunk of
 its own, hashed in blocks).
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Bytes of text that are hashed at a time.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 #: Rows of (id, small payload) that may be broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -41,6 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Hand texts to Python 8 MB at a time unless the session says otherwise (the default is 64 MB
+    for each of the JVM, the socket and the worker)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(key, str(8 << 20))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -90,6 +98,7 @@ def _sortable(df: DataFrame) -> list[str]:
 
 def text_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Just (doc_id, text), so that no other column of the table can clash with ours."""
+    modest_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
@@ -166,7 +175,7 @@ def _hash_block(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, in blocks of a few megabytes."""
+    """A 64-bit hash of each word, in blocks of CHUNK_BYTES."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     out, i = [], 0

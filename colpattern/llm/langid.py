@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colpattern.llm.common import batch, buffers, cut, maybe_broadcast, mix, row_ranges
+from colpattern.llm.common import batch, buffers, cut, maybe_broadcast, modest_batches, row_ranges, text_of
 
 #: Labelled rows of each language that train its filter.
 PER_LANG = 1000
@@ -165,12 +165,12 @@ def identify_udf(model: Model):
 def identify(docs: DataFrame, model: Model | None = None, min_rate: float = MIN_RATE) -> DataFrame:
     """(doc_id, lang_id, rate, n_grams, keep) of each row of docs."""
     model = model or train(docs)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = text.select("doc_id", identify_udf(model)("text").alias("r"))
+    got = text_of(docs).select("doc_id", identify_udf(model)("text").alias("r"))
     return got.select("doc_id", F.col("r.lang").alias("lang_id"), F.round("r.rate", 6).alias("rate"), F.col("r.n_grams").alias("n_grams"), ((F.col("r.rate") >= min_rate) & (F.col("r.lang") != "und")).alias("keep"))
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None, min_rate: float = MIN_RATE) -> DataFrame:
     """The rows of docs, with all their columns, whose language can be told."""
+    modest_batches(docs.sparkSession)
     got = identify_udf(model or train(docs))(F.col("text").cast("string"))
     return docs.where((got["rate"] >= min_rate) & (got["lang"] != "und"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colpattern.llm.common import batch, cut, fresh, hashed_words, maybe_broadcast, mix, one_row_per_id, signed, spread, text_of
+from colpattern.llm.common import batch, cut, fresh, hashed_words, maybe_broadcast, mix, modest_batches, one_row_per_id, signed, spread, text_of
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a document.
 K, PICKS, SKETCHES = 4, 2, 20
@@ -304,6 +304,7 @@ def groups(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKET
 
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
     """docs with one document of each group, all columns kept; rows with a null doc_id stay."""
+    modest_batches(docs.sparkSession)
     gone = fresh(docs, "_gone")
     drop = cut(groups(docs, **params).where("not keep").select(F.col("doc_id").alias(gone)))
     one = one_row_per_id(docs).join(maybe_broadcast(drop), F.col("doc_id") == F.col(gone), "left_anti")

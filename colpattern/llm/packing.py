@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colpattern.llm.common import cut, maybe_broadcast
+from colpattern.llm.common import cut, maybe_broadcast, modest_batches
 from colpattern.llm.tokens import TOKENIZER, count_udf
 
 #: Tokens of a pack, rounding of lengths, most documents of an enumerated pattern.
@@ -171,6 +171,7 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, step: int = STEP, parts: int =
     if max_len % step:
         raise ValueError("max_len must be a multiple of step")
     spark = docs.sparkSession
+    modest_batches(spark)
     count = tokens if tokens is not None else count_udf(tokenizer)(F.col("text").cast("string"))
     all_ = cut(pieces(docs, count, max_len))
     all_ = all_.withColumn("bin", F.ceil(F.col("n") / step).cast("int"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colpattern.llm.common import batch, cut, fits_broadcast, fresh, hashed_words, maybe_broadcast, one_row_per_id, signed, spread, text_of, window_hashes, word_bounds, word_count
+from colpattern.llm.common import batch, cut, fits_broadcast, fresh, hashed_words, maybe_broadcast, modest_batches, one_row_per_id, signed, spread, text_of, window_hashes, word_bounds, word_count
 
 #: Least words of a repeat.
 LEAST = 50
@@ -214,6 +214,7 @@ def _cut(text: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
 def drop_repeats(docs: DataFrame, **params) -> DataFrame:
     """docs without the repeated spans (the first copy stays), n_chars renewed where it exists.
     A document of which nothing is left goes; all others keep their rows and columns."""
+    modest_batches(docs.sparkSession)
     s, n, key = (fresh(docs, x) for x in ("_starts", "_lengths", "_key"))
     found = spans(docs, **params).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("start_word").alias(s), F.collect_list("n_words").alias(n))
     found = cut(found)
