@@ -5,7 +5,8 @@ k-mers of a document and keeps them in text order, so two documents agree on a s
 they share k-mers *in the same order* (sensitive to edit similarity, not only to the set).
 Documents that agree on a sketch form a bucket. Within a bucket everyone is compared with the
 smallest doc_id; clusters of a bucket that are still apart afterwards are compared pairwise
-by their smallest members. A comparison is a banded alignment over words (the band is as
+by their smallest members, after a test on lengths and word parities that needs no text and
+drops no true pair (`parity`). A comparison is a banded alignment over words (the band is as
 wide as the allowed number of edits): similarity = 1 - edits / longer length >= `least`.
 Verified pairs are edges; the groups are the connected components.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,7 +40,8 @@ SLICE = 512
 
 _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_words", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_words", pa.int64()), *((f"b{k}", pa.int64()) for k in range(4)), ("keys", pa.list_(pa.int64()))])
+_SKETCH_DDL = "doc_id long, h1 long, h2 long, n_words long, b0 long, b1 long, b2 long, b3 long, keys array<long>"
 
 
 def kmers(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +111,19 @@ def sketch(words: np.ndarray, first: np.ndarray, k: int = K, picks: int = PICKS,
     return out
 
 
+def parity(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """[4, rows]: 256 bits of each text, a bit being the parity of the words that hash to it. An edit
+    flips at most two, so texts whose bits differ in more than 2 * most places are further than
+    `most` edits apart: a test without texts that never drops a true pair."""
+    out = np.zeros((4, len(first) - 1), np.uint64)
+    some = np.diff(first) > 0
+    if some.any():
+        bit, part = _U(1) << (words & _U(63)), (words >> _U(6)) & _U(3)
+        for k in range(4):
+            out[k][some] = np.bitwise_xor.reduceat(np.where(part == _U(k), bit, _U(0)), first[:-1][some])
+    return out
+
+
 def _sketches(k: int, picks: int, sketches: int):
     def run(batches):
         for b in batches:
@@ -123,7 +138,7 @@ def _sketches(k: int, picks: int, sketches: int):
                         h[t][some] = np.add.reduceat(mix(words + mix(at * _U(c) + _U(t + 1))), first[:-1][some])
                 keys = sketch(words, first, k, picks, sketches)
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, sketches, 0))]), pa.int32()), pa.array(signed(keys[some].ravel())))
-                yield batch(_SKETCH, ids[i:j], signed(h[0]), signed(h[1]), n, flat)
+                yield batch(_SKETCH, ids[i:j], signed(h[0]), signed(h[1]), n, *map(signed, parity(words, first)), flat)
 
     return run
 
@@ -277,23 +292,34 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
+def plausible(a: str, b: str, least: float) -> Column:
+    """Whether the structs a and b (n_words, b0..b3) leave room for a similarity of `least`."""
+    n, m = F.col(f"{a}.n_words"), F.col(f"{b}.n_words")
+    most = F.floor((1 - least) * F.greatest(n, m) + 1e-9)
+    differ = sum((F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))) for k in range(1, 4)), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
+    return (F.abs(n - m) <= most) & (differ <= 2 * most)
+
+
 def groups(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKETCHES, least: float = LEAST) -> DataFrame:
     """(doc_id, group_id, n_words, keep) of each document; group_id is the smallest doc_id of its group."""
     own = one_row_per_id(text_of(docs))
-    sk = own.mapInArrow(_sketches(k, picks, sketches), "doc_id long, h1 long, h2 long, n_words long, keys array<long>")
+    sk = own.mapInArrow(_sketches(k, picks, sketches), _SKETCH_DDL)
     same = Window.partitionBy("h1", "h2", "n_words")
     sk = cut(sk.withColumn("rep", F.when(F.col("n_words") > 0, F.min("doc_id").over(same)).otherwise(F.col("doc_id"))))
     rows = sk.where("doc_id = rep and n_words > 0").select("doc_id", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
     near = cut(rows.withColumn("a", F.min("doc_id").over(bucket)).withColumn("z", F.max("doc_id").over(bucket)).where("a <> z").select("key", "doc_id", "a"))
     tried = near.where("doc_id <> a").groupBy("doc_id", "a").agg(F.count("*").alias("n")).groupBy(F.col("doc_id").alias("b")).agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    tried = cut(tried.select("a", "b"))
+    marks = sk.select(F.col("doc_id").alias("r"), F.struct("n_words", "b0", "b1", "b2", "b3").alias("x"))
+    tried = tried.join(marks.withColumnsRenamed({"r": "a", "x": "xa"}), "a").join(marks.withColumnsRenamed({"r": "b", "x": "xb"}), "b")
+    tried = cut(tried.where(plausible("xa", "xb", least)).select("a", "b"))
     first = cut(verify(own, tried, least))
     root = components(first)
     apart = near.join(root, near["doc_id"] == root["id"], "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     apart = apart.groupBy("key", "root").agg(F.min("doc_id").alias("r")).withColumn("z", F.count("*").over(bucket)).where("z > 1").select("key", "r")
-    apart = cut(apart)
-    pairs = apart.select("key", F.col("r").alias("a")).join(apart.select("key", F.col("r").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    apart = cut(apart.join(marks, "r"))
+    pairs = apart.select("key", F.col("r").alias("a"), F.col("x").alias("xa")).join(apart.select("key", F.col("r").alias("b"), F.col("x").alias("xb")), "key")
+    pairs = pairs.where((F.col("a") < F.col("b")) & plausible("xa", "xb", least)).select("a", "b").distinct()
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
     edges = first.select("a", "b").unionByName(verify(own, pairs, least).select("a", "b"))
     root = components(edges)

@@ -3,7 +3,7 @@
 1. Eight overlapping heuristics vote good, bad or abstain on each document (`votes`).
 2. Votes are a small code, so the corpus is summed up as counts per code (at most 3**8 rows,
    whatever its size). Expectation-maximisation on these counts estimates the share of good
-   documents and, for each heuristic and class, how often it is right when it votes. Each code
+   documents and, for each heuristic and class, how often it votes what, hence how accurate it is. Each code
    then has a posterior probability of being good. All documents count.
 3. The posteriors of a bounded sample (`sample` documents, those with the smallest id hash) are
    the soft labels of a logistic regression on hashed features: byte trigrams and words that
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colpattern.llm.common import batch, buffers, cut, maybe_broadcast, mix, row_ranges, spread, text_of, word_bounds, word_hashes
+from colpattern.llm.common import batch, buffers, cut, maybe_broadcast, mix, row_ranges, text_of, word_bounds, word_hashes
 
 #: Most documents that train the scorer.
 SAMPLE = 4096
@@ -31,9 +31,13 @@ SAMPLE = 4096
 BUCKET_BITS = 16
 #: A document is kept from this score on.
 KEEP = 0.5
+#: Trigrams that a text counts as having beside its own, which say nothing: short texts score near the bias.
+CALM = 64
+#: Least accuracy of a labeller's votes.
+LEAST_RIGHT = 0.9
 #: Distances at which a recurring word is a feature.
 LAGS = 8
-LABELLERS = ("symbols", "capitals", "bigrams", "lags", "word_length", "sentences", "bars", "shouting")
+LABELLERS = ("symbols", "capitals", "bigrams", "lags", "word_length", "prose", "bars", "shouting")
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
 _KIND = np.zeros(256, np.uint8)  # 0 other
@@ -95,20 +99,19 @@ def votes(t: _Texts) -> np.ndarray:
     length = n_bytes / words
     ends = kinds[:, 4] / words
 
-    def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+    def vote(bad: np.ndarray, good: np.ndarray | bool = False) -> np.ndarray:
         return np.where(bad, BAD, np.where(good, GOOD, ABSTAIN))
 
-    symbols, capitals = kinds[:, 3] / size, kinds[:, 2] / letters
     out = np.stack(
         [
-            vote(symbols > 0.05, symbols < 0.01),
-            vote(capitals > 0.3, capitals < 0.1),
-            vote((repeated > 0.4) & (words >= 20), (repeated < 0.2) & (words >= 20)),
-            vote((lagged > 0.45) & (words >= 10), (lagged < 0.35) & (words >= 10)),
-            vote((length < 2.5) | (length > 14), (length > 3.5) & (length < 11)),
-            vote((ends < 0.005) & (words >= 60), (ends > 0.02) & (ends < 0.35)),
-            vote(per_word[0] > 0.1, (per_word[0] == 0) & (words >= 30)),
-            vote(per_word[1] > 0.3, (per_word[1] < 0.02) & (words >= 30)),
+            vote(kinds[:, 3] / size > 0.02),
+            vote((kinds[:, 2] / letters > 0.3) & (letters >= 20)),
+            vote((repeated > 0.4) & (words >= 20)),
+            vote((lagged > 0.6) & (words >= 10)),
+            vote((length < 2.5) | (length > 14)),
+            vote((ends < 0.005) & (words >= 60), (ends > 0.02) & (ends < 0.35) & (kinds[:, 3] / size < 0.02) & (lagged < 0.3) & (kinds[:, 2] / letters < 0.2)),
+            vote(per_word[0] > 0.05),
+            vote(per_word[1] > 0.3),
         ],
         axis=1,
     )
@@ -124,48 +127,75 @@ def decode(codes: np.ndarray) -> np.ndarray:
     return np.asarray(codes)[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
 
 
-def em(codes: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-9) -> tuple[np.ndarray, float, np.ndarray]:
-    """(posterior of good for each code, prior, accuracies [labeller, class]). An abstention says
-    nothing about the class; a pseudo-count of one right in four fifths keeps accuracies inside (0, 1)."""
+def em(codes: np.ndarray, counts: np.ndarray, rounds: int = 300, tolerance: float = 1e-9) -> tuple[np.ndarray, float, np.ndarray]:
+    """(posterior of good for each code, prior, vote probabilities [labeller, class, vote]).
+
+    Most labellers know one defect and abstain without it, so an abstention is an outcome like the
+    votes. Pseudo-counts keep probabilities inside (0, 1) and say which class is which; a labeller's
+    votes for a class are taken to be right in LEAST_RIGHT of cases at least, without which a
+    rare defect would be explained as a kind of good document. Where none votes, the prior stands."""
     v = decode(codes)
-    n = np.asarray(counts, float)
-    prior, acc = 0.8, np.full((v.shape[1], 2), 0.8)
-    post = np.full(len(v), prior)
+    voted = (v != ABSTAIN).any(1)
+    n = np.asarray(counts, float) * voted
+    hint = np.array([[0.55, 0.40, 0.05], [0.55, 0.02, 0.43]])  # of BAD, GOOD documents: abstain, bad, good
+    prob = np.repeat(hint[None], v.shape[1], 0)
+    prior, post = 0.8, np.full(len(v), 0.8)
     for _ in range(rounds):
         log = np.log([1 - prior, prior])[None, :].repeat(len(v), 0)
         for j in range(v.shape[1]):
-            for c, right in ((0, BAD), (1, GOOD)):
-                log[:, c] += np.where(v[:, j] == ABSTAIN, 0, np.where(v[:, j] == right, np.log(acc[j, c]), np.log1p(-acc[j, c])))
-        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
+            log += np.log(prob[j][:, v[:, j]]).T
+        new = np.where(voted, 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500))), prior)
         done = np.abs(new - post).max(initial=0) < tolerance
         post = new
         if done or not n.sum():
             break
         prior = float(np.clip((n * post).sum() / n.sum(), 0.01, 0.99))
         for j in range(v.shape[1]):
-            for c, right, w in ((0, BAD, n * (1 - post)), (1, GOOD, n * post)):
-                acc[j, c] = (w[v[:, j] == right].sum() + 8) / (w[v[:, j] != ABSTAIN].sum() + 10)
-    return post, prior, acc
+            tally = np.stack([np.bincount(v[:, j], weights=w, minlength=3) for w in (n * (1 - post), n * post)])
+            for vote, right in ((BAD, 0), (GOOD, 1)):
+                both = tally[:, vote].sum()
+                tally[right, vote] = max(tally[right, vote], LEAST_RIGHT * both)
+                tally[1 - right, vote] = both - tally[right, vote]
+            tally += 2 * hint
+            prob[j] = tally / tally.sum(1, keepdims=True)
+    return post, prior, prob
+
+
+def accuracies(prob: np.ndarray, prior: float) -> np.ndarray:
+    """How often each labeller is right when it votes."""
+    right = (1 - prior) * prob[:, 0, BAD] + prior * prob[:, 1, GOOD]
+    return right / (right + (1 - prior) * prob[:, 0, GOOD] + prior * prob[:, 1, BAD])
 
 
 # ---------------------------------------------------------------- features
-def features(t: _Texts, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, row) of each byte trigram and (bucket, row) of each recurring word."""
+def features(t: _Texts, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets of the byte trigrams, their rows, [rows, LAGS] shares of words that recur at each
+    distance). Trigrams that begin in a recurring word are left out: it counts as recurring only."""
     n = len(t.data)
-    shift = np.uint32(32 - bits)
-    if n >= 3:
-        g = t.data[: n - 2].astype(np.uint32) | t.data[1 : n - 1].astype(np.uint32) << np.uint32(8) | t.data[2:].astype(np.uint32) << np.uint32(16)
-        g = (g * np.uint32(0x9E3779B1)) >> shift
-    else:
-        g = np.zeros(0, np.uint32)
-    per = np.maximum(np.diff(t.offsets) - 2, 0)
-    at = np.repeat(t.offsets[:-1], per) + spread(per) if len(per) != 1 else np.arange(int(per[0]))
-    own, own_row = [], []
+    lagged, any_ = np.zeros((len(t.words), LAGS)), np.zeros(len(t.hash), bool)
     for lag in range(1, LAGS + 1):
-        hit = np.flatnonzero(t.recurring(lag))
-        own.append(np.full(len(hit), (lag * 0x85EBCA6B & 0xFFFFFFFF) >> int(shift), np.uint32))
-        own_row.append(t.row[hit])
-    return g[at], np.repeat(np.arange(len(per)), per), np.concatenate(own), np.concatenate(own_row)
+        hit = t.recurring(lag)
+        any_ |= hit
+        lagged[:, lag - 1] = t.per_row(hit, t.row) / np.maximum(t.words, 1)
+    if n < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), lagged
+    g = t.data[: n - 2].astype(np.uint32) | t.data[1 : n - 1].astype(np.uint32) << np.uint32(8) | t.data[2:].astype(np.uint32) << np.uint32(16)
+    g = (g * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+    ok = np.ones(n, bool)
+    hidden = np.zeros(n + 1, np.int8)
+    hidden[t.starts[any_]] += 1
+    hidden[t.ends[any_]] -= 1
+    ok[np.cumsum(hidden[:-1], dtype=np.int8) > 0] = False
+    ends = t.offsets[1:]
+    for k in (1, 2):  # trigrams that would reach over the end of a text
+        bad = ends - k
+        ok[bad[bad >= t.offsets[:-1]]] = False
+    at = np.flatnonzero(ok[: n - 2])
+    return g[at].astype(np.int64), np.searchsorted(ends, at, "right"), lagged
+
+
+def lag_buckets(bits: int = BUCKET_BITS) -> np.ndarray:
+    return (np.arange(1, LAGS + 1) * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - bits)
 
 
 def _chunks(texts: pa.Array):
@@ -188,12 +218,17 @@ def _sparse(bits: int):
     def run(batches):
         for b in batches:
             for i, j, t in _chunks(b.column("text")):
-                g, gr, w, wr = features(t, bits)
-                key, n = np.unique(np.concatenate([gr, wr]) << bits | np.concatenate([g, w]).astype(np.int64), return_counts=True)
+                g, gr, lagged = features(t, bits)
+                size = t.per_row(np.ones(len(gr)), gr) + CALM
+                key, n = np.unique(gr << bits | g, return_counts=True)
+                value = n / size[key >> bits]
+                r, k = np.nonzero(lagged)
+                key, value = np.concatenate([key, r << bits | lag_buckets(bits)[k]]), np.concatenate([value, lagged[r, k]])
+                order = np.argsort(key, kind="stable")
+                key, value = key[order], value[order]
                 row, bucket = key >> bits, key & ((1 << bits) - 1)
-                size = np.maximum(t.per_row(np.ones(len(gr)), gr), 1)
                 off = pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32())
-                yield batch(schema, b.column("doc_id")[i:j], code(votes(t)).astype(np.int32), pa.ListArray.from_arrays(off, pa.array(bucket.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array((n / size[row]).astype(np.float32))))
+                yield batch(schema, b.column("doc_id")[i:j], code(votes(t)).astype(np.int32), pa.ListArray.from_arrays(off, pa.array(bucket.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(value.astype(np.float32))))
 
     return run
 
@@ -207,12 +242,12 @@ class Scorer:
     def score(self, texts: pa.Array) -> np.ndarray:
         out = np.empty(len(texts))
         for i, j, t in _chunks(texts):
-            g, gr, w, wr = features(t, self.bits)
+            g, gr, lagged = features(t, self.bits)
             per = np.bincount(gr, minlength=j - i)
             sums = np.concatenate([[0.0], np.cumsum(self.weights[g], dtype=np.float64)])
             ends = np.cumsum(per)
-            z = sums[ends] - sums[ends - per] + np.bincount(wr, weights=self.weights[w], minlength=j - i)
-            out[i:j] = 1 / (1 + np.exp(-np.clip(self.bias + z / np.maximum(per, 1), -50, 50)))
+            z = (sums[ends] - sums[ends - per]) / (per + CALM) + lagged @ self.weights[lag_buckets(self.bits)]
+            out[i:j] = 1 / (1 + np.exp(-np.clip(self.bias + z, -50, 50)))
         return out
 
 
@@ -230,10 +265,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int
     value = value * scale[bucket]
     w, b = np.zeros(size), float(np.log(np.clip(labels.mean(), 0.01, 0.99) / (1 - np.clip(labels.mean(), 0.01, 0.99))))
     seen, seen_b = np.full(size, 1e-8), 1e-8
-    balance = np.where(labels >= 0.5, 0.5 / max(labels.mean(), 0.02), 0.5 / max(1 - labels.mean(), 0.02))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=value * w[bucket], minlength=len(rows)) + b, -50, 50)))
-        g = (p - labels) * balance / len(rows)
+        g = (p - labels) / len(rows)
         grad = np.bincount(bucket, weights=value * g[row], minlength=size) + decay * w / len(rows)
         seen += grad**2
         w -= rate * grad / np.sqrt(seen)
@@ -243,11 +277,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BUCKET_BITS) -> tuple[Scorer, dict[int, float], float, np.ndarray]:
-    """(scorer, posterior of each code, prior, accuracies)."""
+    """(scorer, posterior of each code, prior, accuracies of the labellers)."""
     own = text_of(docs)
     counts = own.mapInArrow(_vote, "doc_id long, code int").groupBy("code").count().toPandas()
     codes = counts["code"].to_numpy()
-    post, prior, acc = em(codes, counts["count"].to_numpy())
+    post, prior, prob = em(codes, counts["count"].to_numpy())
     table = dict(zip(codes.tolist(), post.tolist(), strict=True))
     ids = cut(own.where("doc_id is not null").select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample))
     rows = own.join(maybe_broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi").where("text is not null")
@@ -255,7 +289,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BUCKET_BITS) -> tup
     sparse = [got.column(c).combine_chunks() for c in ("bucket", "value")]
     pairs = [(sparse[0][i].values.to_numpy(), sparse[1][i].values.to_numpy()) for i in range(got.num_rows)]
     labels = np.array([table[c] for c in got.column("code").to_pylist()])
-    return fit(pairs, labels, bits), table, prior, acc
+    return fit(pairs, labels, bits), table, prior, accuracies(prob, prior)
 
 
 def score(docs: DataFrame, keep: float = KEEP, sample: int = SAMPLE, bits: int = BUCKET_BITS, model: Scorer | None = None) -> DataFrame:
