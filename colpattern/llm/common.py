@@ -1,13 +1,14 @@
 """Shared pieces of the training-data operators: shared storage, lineage cuts, word hashing.
 
 Words are maximal runs of bytes above 0x20 in the UTF-8 text; every other byte separates.
-All hashing is vectorised over the Arrow string buffers, a megabyte at a time, so a
+All hashing is vectorised over the Arrow string buffers, half a megabyte at a time, so a
 worker's memory follows the chunk size and not the batch (one very long text is a chunk of
 its own, hashed in blocks).
 """
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Bytes of text that are hashed at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Rows of (id, small payload) that may be broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -107,6 +108,41 @@ def word_count(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(r"[^\x00-\x20]+")), F.lit(0)).cast("long")
 
 
+# ---------------------------------------------------------------- memory of Python workers
+def release() -> None:
+    """Give freed memory back to the system: workers stay alive between tasks, and what they keep is
+    taken from the JVM beside them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function over batches that releases memory when its task is done."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def tidy_udf(f):
+    """The same for a function of columns, after each batch."""
+
+    def wrapped(*columns: pa.Array) -> pa.Array:
+        try:
+            return f(*columns)
+        finally:
+            release()
+
+    return wrapped
+
+
 # ---------------------------------------------------------------- hashing
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits (splitmix64)."""

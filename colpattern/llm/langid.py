@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colpattern.llm.common import batch, buffers, cut, maybe_broadcast, modest_batches, row_ranges, text_of
+from colpattern.llm.common import batch, buffers, cut, maybe_broadcast, modest_batches, row_ranges, text_of, tidy, tidy_udf
 
 #: Labelled rows of each language that train its filter.
 PER_LANG = 1000
@@ -143,7 +143,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, grams: int = GRAMS, slot_bi
     ids = cut(ids.withColumn("_nth", F.row_number().over(least)).where(F.col("_nth") <= per_lang).select(F.col("doc_id").alias("_id")).distinct())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
     sample = rows.join(maybe_broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").select("lang", "text")
-    counts = sample.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tidy(_gram_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     most = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("_nth", F.row_number().over(most)).where(F.col("_nth") <= grams).select("lang", "gram").toPandas()
     langs = sorted(top["lang"].unique())
@@ -153,13 +153,12 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, grams: int = GRAMS, slot_bi
 def identify_udf(model: Model):
     """Column function text -> (lang, rate, n_grams); only the text goes to Python."""
 
-    @F.arrow_udf(RESULT)
     def identify(texts: pa.Array) -> pa.Array:
         best, rate, total = model.classify(texts)
         names = pa.array([*model.langs, "und"], pa.string())
         return pa.StructArray.from_arrays([names.take(pa.array(np.where(best < 0, len(model.langs), best))), pa.array(rate), pa.array(total)], fields=list(_RESULT))
 
-    return identify
+    return F.arrow_udf(tidy_udf(identify), RESULT)
 
 
 def identify(docs: DataFrame, model: Model | None = None, min_rate: float = MIN_RATE) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colpattern.llm.common import batch, cut, fresh, hashed_words, maybe_broadcast, mix, modest_batches, one_row_per_id, signed, spread, text_of
+from colpattern.llm.common import batch, cut, fresh, hashed_words, maybe_broadcast, mix, modest_batches, one_row_per_id, signed, spread, text_of, tidy
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a document.
 K, PICKS, SKETCHES = 4, 2, 20
@@ -267,7 +267,7 @@ def verify(docs: DataFrame, edges: DataFrame, least: float = LEAST, slice_rows:
     rows = text_of(docs).join(maybe_broadcast(cut(need)), F.col("doc_id") == F.col("id")).select("a", "salt", "doc_id", "text")
     spark = docs.sparkSession
     ready = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "salt").sortWithinPartitions("a", "salt", F.col("doc_id") != F.col("a"), "doc_id")
-    return ready.mapInArrow(_compare(least), "a long, b long, similarity double")
+    return ready.mapInArrow(tidy(_compare(least)), "a long, b long, similarity double")
 
 
 # ---------------------------------------------------------------- components
@@ -303,7 +303,7 @@ def plausible(a: str, b: str, least: float) -> Column:
 def groups(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKETCHES, least: float = LEAST) -> DataFrame:
     """(doc_id, group_id, n_words, keep) of each document; group_id is the smallest doc_id of its group."""
     own = one_row_per_id(text_of(docs))
-    sk = own.mapInArrow(_sketches(k, picks, sketches), _SKETCH_DDL)
+    sk = own.mapInArrow(tidy(_sketches(k, picks, sketches)), _SKETCH_DDL)
     same = Window.partitionBy("h1", "h2", "n_words")
     sk = cut(sk.withColumn("rep", F.when(F.col("n_words") > 0, F.min("doc_id").over(same)).otherwise(F.col("doc_id"))))
     rows = sk.where("doc_id = rep and n_words > 0").select("doc_id", F.explode("keys").alias("key"))

@@ -32,7 +32,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colpattern.llm.common import batch, spread, text_of
+from colpattern.llm.common import batch, spread, text_of, tidy
 from colpattern.llm.tokens import TOKENIZER, encoding
 
 MASK_DELTA = 0xA282EAD8
@@ -195,7 +195,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, rows: int = 51
     """Tokenise docs and write shards to the folder `path` (a URI all executors reach). Lazy: the
     shards are written as the returned index rows (shard, record, doc_id, offset, length,
     n_tokens, crc) are read; `length` is the whole frame, `crc` the unmasked CRC-32C of the data."""
-    return text_of(docs).mapInArrow(_writer(path, tokenizer, rows), INDEX)
+    return text_of(docs).mapInArrow(tidy(_writer(path, tokenizer, rows)), INDEX)
 
 
 # ---------------------------------------------------------------- reading

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colpattern.llm.common import batch, cut, fits_broadcast, fresh, hashed_words, maybe_broadcast, modest_batches, one_row_per_id, signed, spread, text_of, window_hashes, word_bounds, word_count
+from colpattern.llm.common import batch, cut, fits_broadcast, fresh, hashed_words, maybe_broadcast, modest_batches, one_row_per_id, signed, spread, text_of, tidy, tidy_udf, window_hashes, word_bounds, word_count
 
 #: Least words of a repeat.
 LEAST = 50
@@ -184,15 +184,15 @@ def spans(docs: DataFrame, least: int = LEAST, period: int = PERIOD, cover: tupl
     whole = cut(own.join(maybe_broadcast(copied), F.col("doc_id") == F.col("id")).select("doc_id", word_count().alias("n"), "src").where(F.col("n") >= least))
     copies = whole.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("n_words"), F.col("src").alias("src_doc_id"), F.lit(0).cast("long").alias("src_start_word"))
     rest = own.join(maybe_broadcast(whole.select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_anti")
-    places = rest.mapInArrow(_anchors(width, period, cover), "h long, doc_id long, pos int")
-    hits = _by_key(places, "h", "doc_id").mapInArrow(_shared, "doc_id long, pos int")
+    places = rest.mapInArrow(tidy(_anchors(width, period, cover)), "h long, doc_id long, pos int")
+    hits = _by_key(places, "h", "doc_id").mapInArrow(tidy(_shared), "doc_id long, pos int")
     marks = cut(hits.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("pos").alias("marks")))
     ids = marks.select(F.col("id").alias("only"))
     some = rest.join(F.broadcast(ids), F.col("doc_id") == F.col("only"), "left_semi") if fits_broadcast(ids) else rest
     near = some.join(marks, F.col("doc_id") == F.col("id")).select("doc_id", "text", "marks")
-    windows = near.mapInArrow(_windows(least, width), "h long, doc_id long, pos int")
-    dups = _by_key(windows, "h", "doc_id", "pos").mapInArrow(_repeated, "doc_id long, pos int, src long, src_pos int")
-    return _by_key(dups, "doc_id", "pos").mapInArrow(_spans(least), SPANS).unionByName(copies)
+    windows = near.mapInArrow(tidy(_windows(least, width)), "h long, doc_id long, pos int")
+    dups = _by_key(windows, "h", "doc_id", "pos").mapInArrow(tidy(_repeated), "doc_id long, pos int, src long, src_pos int")
+    return _by_key(dups, "doc_id", "pos").mapInArrow(tidy(_spans(least)), SPANS).unionByName(copies)
 
 
 def cut_words(text: str, starts: list[int], lengths: list[int]) -> str:
@@ -221,7 +221,7 @@ def drop_repeats(docs: DataFrame, **params) -> DataFrame:
     known = one_row_per_id(docs)
     joined = known.join(maybe_broadcast(found), F.col("doc_id") == F.col(key), "left")
     hit = F.col(s).isNotNull()
-    left = F.arrow_udf(_cut, "string")(F.when(hit, F.col("text")), s, n)
+    left = F.arrow_udf(tidy_udf(_cut), "string")(F.when(hit, F.col("text")), s, n)
     new = fresh(docs, "_left")
     out = joined.withColumn(new, left).where(~hit | (F.length(new) > 0))
     columns = {"text": F.coalesce(F.col(new), F.col("text"))}

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from colpattern.llm.common import tidy_udf
+
 #: Ranks file of the default tokenizer (50,256 ids; 50256 is free and marks the end of a text).
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text into the pieces within which bytes are merged.
@@ -37,9 +39,8 @@ def encode(text: str | None, path: str = TOKENIZER) -> np.ndarray:
 def count_udf(path: str = TOKENIZER):
     """Column function text -> number of ids (null: 0)."""
 
-    @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
         enc = encoding(path).encode_ordinary
         return pa.array([len(enc(t)) if t else 0 for t in texts.to_pylist()], pa.int64())
 
-    return count
+    return F.arrow_udf(tidy_udf(count), "bigint")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colpattern.llm.common import batch, buffers, cut, maybe_broadcast, mix, row_ranges, text_of, word_bounds, word_hashes
+from colpattern.llm.common import batch, buffers, cut, maybe_broadcast, mix, row_ranges, text_of, tidy, tidy_udf, word_bounds, word_hashes
 
 #: Most documents that train the scorer.
 SAMPLE = 4096
@@ -279,13 +279,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int
 def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BUCKET_BITS) -> tuple[Scorer, dict[int, float], float, np.ndarray]:
     """(scorer, posterior of each code, prior, accuracies of the labellers)."""
     own = text_of(docs)
-    counts = own.mapInArrow(_vote, "doc_id long, code int").groupBy("code").count().toPandas()
+    counts = own.mapInArrow(tidy(_vote), "doc_id long, code int").groupBy("code").count().toPandas()
     codes = counts["code"].to_numpy()
     post, prior, prob = em(codes, counts["count"].to_numpy())
     table = dict(zip(codes.tolist(), post.tolist(), strict=True))
     ids = cut(own.where("doc_id is not null").select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample))
     rows = own.join(maybe_broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi").where("text is not null")
-    got = rows.mapInArrow(_sparse(bits), "doc_id long, code int, bucket array<int>, value array<float>").orderBy("doc_id").toArrow()
+    got = rows.mapInArrow(tidy(_sparse(bits)), "doc_id long, code int, bucket array<int>, value array<float>").orderBy("doc_id").toArrow()
     sparse = [got.column(c).combine_chunks() for c in ("bucket", "value")]
     pairs = [(sparse[0][i].values.to_numpy(), sparse[1][i].values.to_numpy()) for i in range(got.num_rows)]
     labels = np.array([table[c] for c in got.column("code").to_pylist()])
@@ -299,5 +299,5 @@ def score(docs: DataFrame, keep: float = KEEP, sample: int = SAMPLE, bits: int =
     def run(texts: pa.Array) -> pa.Array:
         return pa.array(scorer.score(texts), pa.float64())
 
-    got = text_of(docs).select("doc_id", F.arrow_udf(run, "double")("text").alias("p"))
+    got = text_of(docs).select("doc_id", F.arrow_udf(tidy_udf(run), "double")("text").alias("p"))
     return got.select("doc_id", F.round("p", 6).alias("score"), (F.col("p") >= keep).alias("keep"))
