@@ -35,10 +35,10 @@ _BK = "CASE k " + " ".join(f"WHEN {k} THEN b{k}" for k in range(2, 9)) + " END"
 _TOGGLE = f"""t0 AS (SELECT s.*, k, list_sum(list_transform(head[1:k], lambda x: strlen(x))) AS cyc, {_BK} AS bk FROM s, k WHERE n >= k AND len(list_distinct(head[1:k])) >= 2),
 dt AS (SELECT col_name, 'toggle' AS pattern, size / (cyc + k - 1 + 1 + length(CAST(n AS VARCHAR)))::DOUBLE AS ratio, NULL::BIGINT AS "start", NULL::BIGINT AS "end", NULL::BIGINT AS step, n AS period, k FROM t0 WHERE bk IS NULL AND n >= 3
 QUALIFY row_number() OVER (PARTITION BY col_name ORDER BY k) = 1)"""
-_REPRANGE = f"""rr AS (SELECT s.* FROM s WHERE ints AND step <> 0 AND n >= 4 AND b >= 2 AND b <= 100000 AND n % b = 0 AND n / b >= 2),
-rv AS (SELECT rr.col_name FROM c JOIN rr USING (col_name) GROUP BY rr.col_name HAVING bool_and(v = CAST(v0 + (rid % b) * step AS VARCHAR))),
-dd AS (SELECT col_name, 'repeated_range' AS pattern, size / ({_span("v0", "(v0 + (b - 1) * step)", "step")} + 3 + length(CAST(n // b AS VARCHAR)))::DOUBLE AS ratio, v0 AS "start", v0 + (b - 1) * step AS "end", step, b AS period
-FROM rr WHERE col_name IN (SELECT col_name FROM rv) AND (bytes / (n / b) + b - 1) / {_span("v0", "(v0 + (b - 1) * step)", "step")} > 1)"""
+_REPRANGE = f"""rr AS (SELECT s.* FROM s WHERE ints AND step <> 0 AND n >= 4 AND b >= 2 AND b <= 100000 AND n % nullif(b, 0) = 0 AND n / nullif(b, 0) >= 2),
+rv AS (SELECT rr.col_name FROM c JOIN rr USING (col_name) GROUP BY rr.col_name HAVING bool_and(v = CAST(v0 + (rid % nullif(b, 0)) * step AS VARCHAR))),
+dd AS (SELECT col_name, 'repeated_range' AS pattern, size / ({_span("v0", "(v0 + (b - 1) * step)", "step")} + 3 + length(CAST(n // nullif(b, 0) AS VARCHAR)))::DOUBLE AS ratio, v0 AS "start", v0 + (b - 1) * step AS "end", step, b AS period
+FROM rr WHERE col_name IN (SELECT col_name FROM rv) AND (bytes / (n / nullif(b, 0)) + b - 1) / {_span("v0", "(v0 + (b - 1) * step)", "step")} > 1)"""
 #: Every period up to 64 that divides the length, tried with every cycle (longer ones than the shortest that holds never win).
 _REPTOGGLE = """pp AS (SELECT unnest(range(2, 65)) AS p),
 rt0 AS (SELECT t0.col_name, n, size, head, k, p, cyc, list_sum(list_transform(range(p), lambda i: strlen(head[(i % k + 1)::INT]))) + p - 1 AS chunk FROM t0, pp WHERE n % p = 0 AND p <= n / 2 AND k <= p AND n >= 4),

@@ -22,12 +22,13 @@ from colpattern.operators import dictionary as D
 from colpattern.operators.detect import MIN_LENGTH, detect
 
 THRESHOLD = 1.2
-_PLAIN_NUMBER = r"^-?[0-9]+$|^-?[0-9]+\.[0-9]+$"
+#: Numbers whose text survives being read as a number.
+_PLAIN_NUMBER = r"^(0|-?[1-9][0-9]{0,17})$|^-?(0|[1-9][0-9]{0,5})\.[0-9]{0,8}[1-9]$|^-?[1-9][0-9]{0,8}\.[0-9]{0,5}[1-9]$"
 
 
 def unsafe(v: Column) -> Column:
     """Whether a value cannot stand literally in a stream."""
-    return v.rlike(r"[()]") | (v.rlike(r"^[-!0-9]") & ~v.rlike(_PLAIN_NUMBER)) | (v.rlike(r"^-?0[0-9]|^-0$|^-?[0-9]{19,}"))
+    return v.rlike(r"[()]") | (v.rlike(r"^[-!0-9]") & ~v.rlike(_PLAIN_NUMBER))
 
 
 def literal(v: Column) -> Column:

@@ -31,8 +31,8 @@ def arithmetic_segments(df: DataFrame, column: str = "v", rid: str = "rid") -> D
     share the element between them. A single value is a segment of length 1 and step 0."""
     t = with_previous(df.select(rid, column), (), column, "_prev", rid)
     d = t.where(F.col(rid) > 0).select(F.col(rid), F.try_subtract(F.col(column), F.col("_prev")).alias("_d"))
-    d = with_previous(d, (), "_d", "_before", rid)
-    d = running_count(d, (), (F.col(rid) == 1) | ~F.col("_d").eqNullSafe(F.col("_before")), "_seg", rid)
+    d = with_previous(d, (), "_d", "_last", rid)
+    d = running_count(d, (), (F.col(rid) == 1) | ~F.col("_d").eqNullSafe(F.col("_last")), "_seg", rid)
     out = d.groupBy("_seg").agg((F.min(rid) - 1).alias("seg_start"), (F.count("*") + 1).alias("seg_len"), F.min("_d").alias("seg_step")).drop("_seg")
     alone = df.agg(F.count("*").alias("n")).where("n = 1").select(F.lit(0).cast("long").alias("seg_start"), F.lit(1).cast("long").alias("seg_len"), F.lit(0).cast("long").alias("seg_step"))
     return out.unionByName(alone)

@@ -185,7 +185,7 @@ def codec(lines: DataFrame, keys: Sequence[str] = ("chunk",), column: str = "lin
     kind = F.col("code")
     ip, user = F.when(kind.isin("A", "F", "S"), F.col("v1")), F.when(kind == "A", F.col("v2")).when(kind.isin("O", "X"), F.col("v1"))
     t = t.withColumns({"code": F.when(kind == "P", "?").otherwise(kind), "_ip": ip, "_user": user})
-    t = t.withColumn("_row", (F.row_number().over(Window.partitionBy(*keys).orderBy(rid)) - 1).cast("long"))
+    t = cut(t.withColumn("_row", (F.row_number().over(Window.partitionBy(*keys).orderBy(rid)) - 1).cast("long")))
     tables, out = {}, t
     for name in ("service", "_ip", "_user"):
         first = t.where(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.min("_row").alias("_f"))
