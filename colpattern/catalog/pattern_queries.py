@@ -57,18 +57,21 @@ def _found(spark, sf, *names: str):
     return t.where(F.col("pattern").isin(*names))
 
 
-_OUT = ["col_name", "pattern", F.round("ratio", 6).alias("ratio"), "start", "end", "step", "period"]
+def _out() -> list:
+    return ["col_name", "pattern", F.round("ratio", 6).alias("ratio"), "start", "end", "step", "period"]
+
+
 _OUT_SQL = 'col_name, pattern, round(ratio, 6) AS ratio, "start", "end", step, period'
 
 
 @query("detect_range", f"WITH {_PROFILE}, {_RANGE} SELECT {_OUT_SQL} FROM dr WHERE ratio > 1")
 def detect_range(spark, sf):
-    return _found(spark, sf, "sequential", "arithmetic").select(*_OUT)
+    return _found(spark, sf, "sequential", "arithmetic").select(*_out())
 
 
 @query("detect_repeat", f"WITH {_PROFILE}, {_REPEAT} SELECT {_OUT_SQL} FROM dp WHERE ratio > 1")
 def detect_repeat(spark, sf):
-    return _found(spark, sf, "repeat").select(*_OUT)
+    return _found(spark, sf, "repeat").select(*_out())
 
 
 @query("detect_toggle", f"""{_ALL} SELECT col_name, pattern, round(ratio, 6) AS ratio, array_to_string(head[1:k], '~') AS cycle FROM best WHERE pattern IN ('toggle', 'repeated_toggle')""")
@@ -79,17 +82,17 @@ def detect_toggle(spark, sf):
 
 @query("detect_repeated_range", f"{_ALL} SELECT {_OUT_SQL}, repeats FROM best WHERE pattern = 'repeated_range'")
 def detect_repeated_range(spark, sf):
-    return _found(spark, sf, "repeated_range").select(*_OUT, "repeats")
+    return _found(spark, sf, "repeated_range").select(*_out(), "repeats")
 
 
 @query("detect_repeated_toggle", f"{_ALL} SELECT {_OUT_SQL}, repeats FROM best WHERE pattern = 'repeated_toggle'")
 def detect_repeated_toggle(spark, sf):
-    return _found(spark, sf, "repeated_toggle").select(*_OUT, "repeats")
+    return _found(spark, sf, "repeated_toggle").select(*_out(), "repeats")
 
 
 @query("detect_best", f"{_ALL} SELECT {_OUT_SQL}, repeats, n FROM best")
 def detect_best(spark, sf):
-    return detect(I.cells(spark, sf)).select(*_OUT, "repeats", "n")
+    return detect(I.cells(spark, sf)).select(*_out(), "repeats", "n")
 
 
 _UNIT = """CAST("start" AS VARCHAR) || '>' || CAST("end" AS VARCHAR) || CASE WHEN step = CASE WHEN "end" >= "start" THEN 1 ELSE -1 END THEN '' ELSE ':' || CAST(step AS VARCHAR) END"""
