@@ -3,10 +3,13 @@
 Sketch: each of `sketches` hash functions picks the `picks` smallest occurrence-labelled word
 k-mers of a document and keeps them in text order, so two documents agree on a sketch when
 they share k-mers *in the same order* (sensitive to edit similarity, not only to the set).
-Documents that agree on a sketch form a bucket. Within a bucket everyone is compared with the
-smallest doc_id; clusters of a bucket that are still apart afterwards are compared pairwise
-by their smallest members, after a test on lengths and word parities that needs no text and
-drops no true pair (`parity`). A comparison is a banded alignment over words (the band is as
+Documents that agree on a sketch form a bucket. First everyone is compared with one leader (of
+the smallest doc_ids of its buckets the one it meets most often). Clusters of a bucket that are
+still apart are then compared by their 1, 8, 64, ... smallest members, clusters being joined
+after each round, until every pair of a bucket is in one cluster or was compared (all at once
+where that is few pairs); a test on lengths and word parities that needs no text and drops no
+true pair goes before (`parity`). So the groups are those that comparing all pairs of all
+buckets would give. A comparison is a banded alignment over words (the band is as
 wide as the allowed number of edits): similarity = 1 - edits / longer length >= `least`.
 Verified pairs are edges; the groups are the connected components.
 
@@ -37,6 +40,9 @@ K, PICKS, SKETCHES = 4, 2, 20
 LEAST = 0.8
 #: Members that a task compares with a leader before another slice begins.
 SLICE = 512
+#: Factor of the members that stand for a cluster from round to round; pairs across the clusters
+#: of buckets, for each row in a bucket, up to which all are compared in one round.
+GROWTH, PAIRS_A_ROW = 8, 4
 
 _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
@@ -300,6 +306,38 @@ def plausible(a: str, b: str, least: float) -> Column:
     return (F.abs(n - m) <= most) & (differ <= 2 * most)
 
 
+def _apart(near: DataFrame, root: DataFrame) -> DataFrame:
+    """(key, doc_id, root, c, nth, big): of near (key, doc_id) the buckets that hold more than one
+    cluster; c is the size of the row's cluster there, nth the row's rank in it, big the largest cluster."""
+    n = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = maybe_broadcast(root.select(F.col("id").alias("rid"), F.col("root").alias("now")))
+    here = near.select("key", "doc_id").join(names, F.col("doc_id") == F.col("rid"), "left").select("key", "doc_id", F.coalesce("now", "doc_id").alias("root"))
+    bucket, cluster = Window.partitionBy("key"), Window.partitionBy("key", "root")
+    here = here.repartition(n, "key").withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket)}).where("lo <> hi")
+    here = here.withColumns({"c": F.count("*").over(cluster), "nth": F.row_number().over(cluster.orderBy("doc_id"))})
+    return cut(here.withColumn("big", F.max(F.struct("c", "root")).over(bucket)["root"]).select("key", "doc_id", "root", "c", "nth", "big"))
+
+
+def _crossing(near: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """(a, b): the plausible pairs of each bucket whose ends are in different clusters. The members of
+    the largest cluster are met only by those outside it, never by each other."""
+    rows = cut(near.join(marks, F.col("doc_id") == F.col("r")).select("key", "root", "big", "doc_id", "x"))
+    left, right = (rows.select("key", F.col("root").alias(f"r{s}"), F.col("big").alias(f"g{s}"), F.col("doc_id").alias(f"d{s}"), F.col("x").alias(f"x{s}")) for s in "lr")
+    met = left.where("rl <> gl").join(right, "key").where("rl <> rr and (rr = gr or dl < dr)")
+    return met.where(plausible("xl", "xr", least)).select(F.least("dl", "dr").alias("a"), F.greatest("dl", "dr").alias("b")).distinct()
+
+
+def _joined(root: DataFrame, edges: DataFrame) -> DataFrame:
+    """root (id, root) with the clusters that the edges (a, b) connect made one."""
+    if edges.isEmpty():
+        return root
+    ends = [root.select(F.col("id").alias(f"id{x}"), F.col("root").alias(f"root{x}")) for x in "ab"]
+    over = edges.join(ends[0], F.col("a") == F.col("ida"), "left").join(ends[1], F.col("b") == F.col("idb"), "left")
+    new = cut(components(over.select(F.coalesce("roota", "a").alias("a"), F.coalesce("rootb", "b").alias("b"))).withColumnsRenamed({"id": "old", "root": "new"}))
+    kept = root.join(new, F.col("root") == F.col("old"), "left").select("id", F.coalesce("new", "root").alias("root"))
+    return cut(kept.unionByName(new.join(root, F.col("old") == F.col("id"), "left_anti").select(F.col("old").alias("id"), F.col("new").alias("root"))))
+
+
 def groups(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKETCHES, least: float = LEAST) -> DataFrame:
     """(doc_id, group_id, n_words, keep) of each document; group_id is the smallest doc_id of its group."""
     own = one_row_per_id(text_of(docs))
@@ -315,14 +353,18 @@ def groups(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKET
     tried = cut(tried.where(plausible("xa", "xb", least)).select("a", "b"))
     first = cut(verify(own, tried, least))
     root = components(first)
-    apart = near.join(root, near["doc_id"] == root["id"], "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    apart = apart.groupBy("key", "root").agg(F.min("doc_id").alias("r")).withColumn("z", F.count("*").over(bucket)).where("z > 1").select("key", "r")
-    apart = cut(apart.join(marks, "r"))
-    pairs = apart.select("key", F.col("r").alias("a"), F.col("x").alias("xa")).join(apart.select("key", F.col("r").alias("b"), F.col("x").alias("xb")), "key")
-    pairs = pairs.where((F.col("a") < F.col("b")) & plausible("xa", "xb", least)).select("a", "b").distinct()
-    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-    edges = first.select("a", "b").unionByName(verify(own, pairs, least).select("a", "b"))
-    root = components(edges)
+    grow, few = 1, PAIRS_A_ROW * near.count()
+    while True:
+        near = _apart(near, root)
+        crossing, largest = near.groupBy("key").agg(F.count("*").alias("n"), F.sum("c").alias("within"), F.max("c").alias("c")).agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2), F.max("c")).first()
+        if not crossing:
+            break
+        most = largest if crossing <= few else min(grow, largest)
+        pairs = cut(_crossing(near.where(F.col("nth") <= most), marks, least).join(tried, ["a", "b"], "left_anti"))
+        root = _joined(root, cut(verify(own, pairs, least).select("a", "b")))
+        if most == largest:
+            break
+        tried, grow = cut(tried.unionByName(pairs)), grow * GROWTH
     got = sk.select("doc_id", "rep", "n_words").join(root, F.col("rep") == F.col("id"), "left")
     got = got.select("doc_id", F.coalesce("root", "rep").alias("group_id"), "n_words")
     return got.withColumn("keep", F.col("doc_id") == F.col("group_id"))

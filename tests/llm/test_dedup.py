@@ -5,6 +5,7 @@ import random
 import pytest
 
 from colpattern.llm import omh, substring
+from colpattern.llm.common import hashed_words
 
 
 def edits(a, b):
@@ -87,6 +88,47 @@ def test_groups_match_brute_force(docs):
     assert all(want[i] == want[g] for i, g in got.items())  # nothing that is not a copy
 
 
+def bucket_groups(rows, least):
+    """The groups when all pairs that share a sketch are compared."""
+    import pyarrow as pa
+
+    own, keys = {}, {}
+    for i, j, w, first in hashed_words(pa.array([t for _, t in rows])):
+        for r, key in enumerate(omh.sketch(w, first)):
+            own[rows[i + r][0]] = w[first[r] : first[r + 1]].tolist()
+            for x in key.tolist():
+                keys.setdefault(x, []).append(rows[i + r][0])
+    root = {i: i for i in own}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in {tuple(sorted((a, b))) for ids in keys.values() for k, a in enumerate(ids) for b in ids[:k]}:
+        most = omh.allowed(len(own[x]), len(own[y]), least)
+        if find(x) != find(y) and omh.banded_distance(omh.positions(own[x]), len(own[x]), own[y], most) <= most:
+            a, b = sorted((find(x), find(y)))
+            root[b] = a
+    return {i: find(i) for i in own}
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_every_pair_of_a_bucket_counts(docs, monkeypatch, few):
+    """120 copies of a text with 2 to 19 % edits, which are not all close to one of them."""
+    monkeypatch.setattr(omh, "PAIRS_A_ROW", few, raising=False)
+    rng = random.Random(11)
+    rows, base = [], words(rng, 200)
+    ids = rng.sample(range(10**6), 120)
+    for i in ids:
+        c = list(base)
+        for at in rng.sample(range(200), int(200 * rng.uniform(0.02, 0.19))):
+            c[at] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(c)))
+    got = {r["doc_id"]: r["group_id"] for r in omh.groups(docs(rows)).collect()}
+    assert got == bucket_groups(rows, omh.LEAST)
+
+
 def test_slices_and_thresholds(spark, docs):
     rows = [(i, " ".join([f"a{k}" for k in range(40)] + [f"z{i}"])) for i in range(20)]
     edges = spark.createDataFrame([(0, i) for i in range(1, 20)], "a long, b long")
