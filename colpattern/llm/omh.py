@@ -2,8 +2,11 @@
 
 Sketch: each of `sketches` hash functions picks the `picks` smallest occurrence-labelled word
 k-mers of a document and keeps them in text order, so two documents agree on a sketch when
-they share k-mers *in the same order* (sensitive to edit similarity, not only to the set).
-Documents that agree on a sketch form a bucket. First everyone is compared with one leader (of
+they share k-mers *in the same order* (sensitive to edit similarity, not only to the set). 40
+sketches of 2 ordered 3-word k-mers find nine of ten pairs or more whose similarity is just `least`
+and whose edits are scattered. Short texts (up to 14 words at 0.8) have too few k-mers for that;
+their keys are all the ways to lose as many words as edits are allowed, so that no close pair of
+them is missed. Documents that agree on a sketch or on such a key form a bucket. First everyone is compared with one leader (of
 the smallest doc_ids of its buckets the one it meets most often). Clusters of a bucket that are
 still apart are then compared by their 1, 8, 64, ... smallest members, clusters being joined
 after each round, until every pair of a bucket is in one cluster or was compared (all at once
@@ -26,6 +29,9 @@ empty result. The kept document of a group is that with the smallest doc_id.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,9 +41,11 @@ from pyspark.sql.window import Window
 from colpattern.llm.common import batch, cut, fresh, hashed_words, maybe_broadcast, mix, modest_batches, one_row_per_id, signed, spread, text_of, tidy
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a document.
-K, PICKS, SKETCHES = 4, 2, 20
+K, PICKS, SKETCHES = 3, 2, 40
 #: Least similarity of two documents that count as copies.
 LEAST = 0.8
+#: Most keys of a short text, whose ways to lose the allowed number of words are all listed.
+SHORT_KEYS = 128
 #: Members that a task compares with a leader before another slice begins.
 SLICE = 512
 #: Factor of the members that stand for a cluster from round to round; pairs across the clusters
@@ -117,6 +125,49 @@ def sketch(words: np.ndarray, first: np.ndarray, k: int = K, picks: int = PICKS,
     return out
 
 
+def short_words(least: float, most: int = SHORT_KEYS) -> int:
+    """The most words of a text for which all ways to lose the edits allowed at `least` are at most `most`."""
+    n = 0
+    while n < most and sum(comb(n + 1, d) for d in range(allowed(n + 1, n + 1, least) + 1)) <= most:
+        n += 1
+    return n
+
+
+def shortened(words: np.ndarray, first: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of n words, [rows, ways] keys): a key for each way to leave out at most the allowed words.
+    Two texts whose edits are allowed become equal when each loses at most the words its own length allows."""
+    rows = np.flatnonzero(np.diff(first) == n)
+    own = words[first[rows][:, None] + np.arange(n)]
+    keys = []
+    for d in range(min(allowed(n, n, least), n - 1) + 1):
+        for left in combinations(range(n), n - d):
+            h = np.full(len(rows), n - d, np.uint64)
+            for c in left:
+                h = mix(h * _U(0x9E3779B97F4A7C15) + own[:, c])
+            keys.append(h)
+    return rows, np.stack(keys, 1)
+
+
+def bucket_keys(words: np.ndarray, first: np.ndarray, k: int = K, picks: int = PICKS, sketches: int = SKETCHES, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, each text's first key). Texts that are short enough have the keys of `shortened`: any close
+    pair of them shares one. Texts that can be close to a longer one have sketches; both kinds overlap."""
+    n = np.diff(first)
+    short = short_words(least)
+    sketched = np.flatnonzero(n >= max(1, short + 1 - allowed(short + 1, short + 1, least)))
+    row, key = [np.repeat(sketched, sketches)], [np.zeros(0, np.uint64)]
+    if len(sketched):
+        pick = np.concatenate([[0], np.cumsum(n[sketched])])
+        key.append(sketch(words[np.repeat(first[sketched], n[sketched]) + spread(n[sketched])], pick, k, picks, sketches).ravel())
+    for m in np.unique(n[(n > 0) & (n <= short)]):
+        at, own = shortened(words, first, int(m), least)
+        own.sort(axis=1)
+        new = np.concatenate([np.ones((len(at), 1), bool), own[:, 1:] != own[:, :-1]], 1)
+        row.append(np.repeat(at, new.sum(1)))
+        key.append(own[new])
+    row, key = np.concatenate(row), np.concatenate(key)
+    return key[np.argsort(row, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)))])
+
+
 def parity(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     """[4, rows]: 256 bits of each text, a bit being the parity of the words that hash to it. An edit
     flips at most two, so texts whose bits differ in more than 2 * most places are further than
@@ -130,7 +181,7 @@ def parity(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketches(k: int, picks: int, sketches: int):
+def _sketches(k: int, picks: int, sketches: int, least: float):
     def run(batches):
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
@@ -142,8 +193,8 @@ def _sketches(k: int, picks: int, sketches: int):
                     at = spread(n).astype(np.uint64)
                     for t, c in enumerate((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
                         h[t][some] = np.add.reduceat(mix(words + mix(at * _U(c) + _U(t + 1))), first[:-1][some])
-                keys = sketch(words, first, k, picks, sketches)
-                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, sketches, 0))]), pa.int32()), pa.array(signed(keys[some].ravel())))
+                keys, start = bucket_keys(words, first, k, picks, sketches, least)
+                flat = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(signed(keys)))
                 yield batch(_SKETCH, ids[i:j], signed(h[0]), signed(h[1]), n, *map(signed, parity(words, first)), flat)
 
     return run
@@ -341,7 +392,7 @@ def _joined(root: DataFrame, edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKETCHES, least: float = LEAST) -> DataFrame:
     """(doc_id, group_id, n_words, keep) of each document; group_id is the smallest doc_id of its group."""
     own = one_row_per_id(text_of(docs))
-    sk = own.mapInArrow(tidy(_sketches(k, picks, sketches)), _SKETCH_DDL)
+    sk = own.mapInArrow(tidy(_sketches(k, picks, sketches, least)), _SKETCH_DDL)
     same = Window.partitionBy("h1", "h2", "n_words")
     sk = cut(sk.withColumn("rep", F.when(F.col("n_words") > 0, F.min("doc_id").over(same)).otherwise(F.col("doc_id"))))
     rows = sk.where("doc_id = rep and n_words > 0").select("doc_id", F.explode("keys").alias("key"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from colpattern.llm import omh, substring
@@ -94,9 +95,10 @@ def bucket_groups(rows, least):
 
     own, keys = {}, {}
     for i, j, w, first in hashed_words(pa.array([t for _, t in rows])):
-        for r, key in enumerate(omh.sketch(w, first)):
+        key, start = omh.bucket_keys(w, first)
+        for r in range(j - i):
             own[rows[i + r][0]] = w[first[r] : first[r + 1]].tolist()
-            for x in key.tolist():
+            for x in key[start[r] : start[r + 1]].tolist():
                 keys.setdefault(x, []).append(rows[i + r][0])
     root = {i: i for i in own}
 
@@ -129,6 +131,54 @@ def test_every_pair_of_a_bucket_counts(docs, monkeypatch, few):
     assert got == bucket_groups(rows, omh.LEAST)
 
 
+@pytest.mark.parametrize("n", [5, 6, 8, 9, 10, 12, 14, 15, 16, 20, 30, 50, 100, 200, 500])
+def test_close_pairs_share_a_bucket(n):
+    """Recall of the keys in each band of similarity down to LEAST, for scattered edits of three kinds."""
+    rng = np.random.default_rng(n)
+    most = omh.allowed(n, n, omh.LEAST)
+    for e in sorted({1, most, max(1, most // 2), max(1, most * 9 // 10)}):
+        for kind in ("substituted", "mixed"):
+            texts = []
+            for _ in range(200):
+                a = rng.integers(1, 2**63, n, dtype=np.uint64).tolist()
+                b = list(a)
+                if kind == "substituted":
+                    for at in rng.choice(n, e, replace=False):
+                        b[at] = int(rng.integers(1, 2**63))
+                for _ in range(e if kind == "mixed" else 0):
+                    way, at = rng.integers(3), int(rng.integers(len(b)))
+                    if way == 0:
+                        b[at] = int(rng.integers(1, 2**63))
+                    elif way == 1 or len(b) >= n:
+                        b.pop(at)
+                    else:
+                        b.insert(at, int(rng.integers(1, 2**63)))
+                texts += [a, b]
+            first = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+            keys, start = omh.bucket_keys(np.concatenate([np.array(x, np.uint64) for x in texts]), first)
+            own = [set(keys[start[i] : start[i + 1]].tolist()) for i in range(len(texts))]
+            recall = sum(bool(x & y) for x, y in zip(own[::2], own[1::2], strict=True)) / 200
+            assert recall >= (1 if n <= omh.short_words(omh.LEAST) else 0.9), (e, kind)
+
+
+def test_short_copies_match_brute_force(docs):
+    """Texts of 4 to 14 words with few edits: none may be missed."""
+    rng = random.Random(8)
+    rows = []
+    for n in range(4, 15):
+        for _ in range(12):
+            base = words(rng, n)
+            rows.append(base)
+            c = list(base)
+            for _ in range(omh.allowed(n, n, omh.LEAST)):
+                at = rng.randrange(len(c))
+                c[at : at + rng.randrange(2)] = [f"n{rng.randrange(9999)}"] if rng.random() < 0.6 or len(c) < n else []
+            rows.append(c[:n])
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = {r["doc_id"]: r["group_id"] for r in omh.groups(docs(rows)).collect()}
+    assert got == brute_groups(rows, omh.LEAST)
+
+
 def test_slices_and_thresholds(spark, docs):
     rows = [(i, " ".join([f"a{k}" for k in range(40)] + [f"z{i}"])) for i in range(20)]
     edges = spark.createDataFrame([(0, i) for i in range(1, 20)], "a long, b long")
