@@ -10,11 +10,11 @@ among pieces of that length alone.
 
 Scale: the driver sees the histogram (max_len / step rows) and the patterns, neither of which
 grows with the corpus; ranks are two-level (a count per length and slice, then a window
-within a slice). Only (doc_id, piece, length) is shuffled, no text.
+within a slice). Packs that follow an order rank the slots in the same way. Only (doc_id, piece, length) is shuffled, no text.
 
 Defined results: a null or empty text is one piece of the end mark alone; rows that share a
 doc_id are packed as often as they stand, rows with a null doc_id too; ties in length are
-ranked by (doc_id, piece); an empty table gives an empty result.
+ranked by (doc_id, piece), or by the order that is given; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import bisect
 from collections import Counter
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -158,26 +159,63 @@ def slots(plan_: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
     return out
 
 
-def pieces(docs: DataFrame, tokens: Column, max_len: int) -> DataFrame:
-    """(doc_id, piece, n): documents cut to at most max_len tokens, an end mark counted in."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (tokens + 1).cast("long").alias("total"))
-    own = own.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / max_len))))
-    return own.select("doc_id", "piece", F.least(F.col("total") - F.col("piece") * max_len, F.lit(max_len)).cast("long").alias("n"))
+def stored_order(docs: DataFrame) -> tuple[Column, Column]:
+    """(major, minor): the order in which rows stand in the files of docs, or in docs where it has none."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return F.lpad(F.spark_partition_id().cast("string"), 10, "0"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.col("_metadata.file_name"), F.col("_metadata.row_index")
 
 
-def pack(docs: DataFrame, max_len: int = MAX_LEN, step: int = STEP, parts: int = PARTS, tokens: Column | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(pack_id, slot, start, doc_id, piece, n_tokens): which piece of a document stands where.
-    tokens: the length of a row, by default the ids of its text with the tokenizer."""
-    if max_len % step:
-        raise ValueError("max_len must be a multiple of step")
-    spark = docs.sparkSession
-    modest_batches(spark)
-    count = tokens if tokens is not None else count_udf(tokenizer)(F.col("text").cast("string"))
-    all_ = cut(pieces(docs, count, max_len))
-    all_ = all_.withColumn("bin", F.ceil(F.col("n") / step).cast("int"))
-    hist = {r["bin"]: r["count"] for r in all_.groupBy("bin").count().collect()}  # max_len / step rows
-    size = max_len // step
-    table = spark.createDataFrame(slots(plan(hist, size, parts)), "b int, lo long, hi long, first long, each int, at int")
+def pieces(docs: DataFrame, tokens: Column, max_len: int, *more: Column) -> DataFrame:
+    """(doc_id, piece, n): documents cut to at most max_len tokens, an end mark counted in; more
+    columns of the documents stand at the end."""
+    names = [f"o{k}" for k in range(len(more))]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (tokens + 1).cast("long").alias("total"), *[c.alias(x) for c, x in zip(more, names, strict=True)])
+    own = own.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / max_len))))
+    return own.select("doc_id", "piece", F.least(F.col("total") - F.col("piece") * max_len, F.lit(max_len)).cast("long").alias("n"), *names)
+
+
+def numbered(df: DataFrame, by: list[str], slices: list[str], order: list[str], name: str) -> DataFrame:
+    """df with name: the row's number among the rows of `by`, in the order of (slices, order)."""
+    keys = [*by, *slices]
+    counts = df.groupBy(*keys).agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy(*by).orderBy(*slices)) - F.col("c")
+    offsets = cut(counts.select(*[F.col(x).alias(f"_{x}") for x in keys], before.alias("before")))
+    same = [F.col(x) == F.col(f"_{x}") for x in keys]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1 + F.col("before")
+    return df.join(maybe_broadcast(offsets), same).withColumn(name, rank).drop("before", *[f"_{x}" for x in keys])
+
+
+def in_turn(all_: DataFrame, plan_: list[tuple[tuple[int, ...], int]]) -> DataFrame:
+    """(pack_id, slot, doc_id, piece, n_tokens): the pieces, which have an order (o0, o1), put into the
+    plan's packs so that packs follow it. The k-th of a pattern's r packs is due at (k + 1/2) / r;
+    slots of a length take its pieces in turn, and packs are numbered by their pieces' mean position."""
+    spark = all_.sparkSession
+    rows, first = [], 0
+    for p, r in plan_:
+        rows += [(first, k, min(k + SLICE, r), r, list(p)) for k in range(0, r, SLICE)]
+        first += r
+    packs = spark.createDataFrame(rows, "first long, lo long, hi long, r long, parts array<int>").repartition(max(1, min(len(rows), 64)))
+    packs = packs.select("first", "r", "parts", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("k"))
+    packs = packs.select((F.col("first") + F.col("k")).alias("pack"), ((F.col("k") + 0.5) / F.col("r")).alias("due"), F.posexplode("parts").alias("slot", "b"))
+    packs = packs.withColumn("part", F.floor(F.col("due") * (1 + first // SLICE)))
+    slots_ = numbered(packs, ["b"], ["part"], ["due", "pack", "slot"], "at")
+    all_ = all_.withColumn("o2", F.floor(F.col("o1") / SLICE))
+    slices = all_.groupBy("o0", "o2").agg(F.count("*").alias("c"))
+    slices = cut(slices.select(F.col("o0").alias("_m"), F.col("o2").alias("_p"), (F.sum("c").over(Window.orderBy("o0", "o2")) - F.col("c")).alias("base")))  # a row for each slice
+    all_ = all_.join(maybe_broadcast(slices), (F.col("o0") == F.col("_m")) & (F.col("o2") == F.col("_p"))).withColumn("position", F.col("base") + F.col("o1") % SLICE)
+    ranked = numbered(all_, ["bin"], ["o0", "o2"], ["o1", "piece"], "rank")
+    put = cut(ranked.join(slots_, (F.col("bin") == F.col("b")) & (F.col("rank") == F.col("at"))).select("pack", "slot", "doc_id", "piece", F.col("n").alias("n_tokens"), "position"))
+    means = cut(put.groupBy("pack").agg(F.avg("position").alias("mean")).select("pack", "mean", F.floor(F.col("mean") / SLICE).alias("part"), F.lit(0).alias("all")))
+    means = numbered(means, ["all"], ["part"], ["mean", "pack"], "pack_id").select(F.col("pack").alias("_pack"), "pack_id")
+    return put.join(means, F.col("pack") == F.col("_pack")).select("pack_id", "slot", "doc_id", "piece", "n_tokens")
+
+
+def by_id(all_: DataFrame, plan_: list[tuple[tuple[int, ...], int]], hist: dict[int, int]) -> DataFrame:
+    """(pack_id, slot, doc_id, piece, n_tokens): the pieces put into the plan's packs by their ids."""
+    table = all_.sparkSession.createDataFrame(slots(plan_), "b int, lo long, hi long, first long, each int, at int")
     salts = max(1, -(-max(hist.values(), default=0) // SLICE))
     ranked = all_.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     if salts > 1:
@@ -190,6 +228,25 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, step: int = STEP, parts: int =
     ranked = ranked.withColumn("rank", rank)
     put = ranked.join(F.broadcast(table), (F.col("bin") == F.col("b")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     k = F.col("rank") - F.col("lo")
-    put = put.select((F.col("first") + F.floor(k / F.col("each"))).alias("pack_id"), (F.col("at") + k % F.col("each")).cast("int").alias("slot"), "doc_id", "piece", F.col("n").alias("n_tokens"))
+    return put.select((F.col("first") + F.floor(k / F.col("each"))).alias("pack_id"), (F.col("at") + k % F.col("each")).cast("int").alias("slot"), "doc_id", "piece", F.col("n").alias("n_tokens"))
+
+
+def pack(docs: DataFrame, max_len: int = MAX_LEN, step: int = STEP, parts: int = PARTS, tokens: Column | None = None, tokenizer: str = TOKENIZER, order: tuple[Column, Column] | None = None) -> DataFrame:
+    """(pack_id, slot, start, doc_id, piece, n_tokens): which piece of a document stands where.
+    tokens: the length of a row, by default the ids of its text with the tokenizer. order: (major,
+    minor) of each row, as `stored_order` has it, if packs are to follow it."""
+    if max_len % step:
+        raise ValueError("max_len must be a multiple of step")
+    spark = docs.sparkSession
+    modest_batches(spark)
+    count = tokens if tokens is not None else count_udf(tokenizer)(F.col("text").cast("string"))
+    all_ = cut(pieces(docs, count, max_len, *(order or ())))
+    all_ = all_.withColumn("bin", F.ceil(F.col("n") / step).cast("int"))
+    hist = {r["bin"]: r["count"] for r in all_.groupBy("bin").count().collect()}  # max_len / step rows
+    size = max_len // step
+    if order:
+        put = in_turn(all_, plan(hist, size, parts))
+    else:
+        put = by_id(all_, plan(hist, size, parts), hist)
     before = F.sum("n_tokens").over(Window.partitionBy("pack_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
     return put.select("pack_id", "slot", F.coalesce(before, F.lit(0)).cast("long").alias("start"), "doc_id", "piece", "n_tokens")

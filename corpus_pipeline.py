@@ -33,8 +33,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the packs."""
-    return packing.pack(docs)
+    """Where each piece of each document stands in the packs, which follow the order of docs."""
+    return packing.pack(docs, order=packing.stored_order(docs))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixture", mixture), ("packs", packs)]

@@ -134,6 +134,27 @@ def test_packing_odd_cases(docs, odd):
 
 
 # ---------------------------------------------------------------- pipeline
+def test_packs_meet_the_weights_over_time(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 300)
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randrange(20, 900), "en", "a" if i % 4 else "b") for i in range(1200)]
+    plans = {"a": [0.9, 0.5, 0.1], "b": [0.1, 0.5, 0.9]}
+    curriculum.in_order(docs(rows), schedules=plans).write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    got = corpus_pipeline.packs(spark, mixed, "").collect()
+    assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(r["doc_id"] for r in mixed.collect())
+    assert len({(r["pack_id"], r["slot"]) for r in got}) == len(got)
+    n = len({r["pack_id"] for r in got})
+    assert {r["pack_id"] for r in got} == set(range(n))
+    for k in range(10):
+        part = [r for r in got if k * n // 10 <= r["pack_id"] < (k + 1) * n // 10]
+        have = sum(r["n_tokens"] for r in part if r["doc_id"] % 4) / sum(r["n_tokens"] for r in part)
+        assert have == pytest.approx(np.interp((k + 0.5) / 10, curriculum.GRID, plans["a"]), abs=0.1)
+    pieces = Counter(r["pack_id"] for r in got)  # packs of more pieces are left-overs, short pieces from far and wide
+    alike = Counter((r["pack_id"], r["doc_id"], r["piece"]) for r in got if pieces[r["pack_id"]] <= packing.PARTS)
+    assert max(alike.values()) == 1  # the epochs of a document stand apart
+
+
 def test_stages_on_a_table(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
