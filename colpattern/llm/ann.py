@@ -1,4 +1,4 @@
-"""Nearest neighbours of every vector by low-dimensional stable projections and kd-trees.
+"""Nearest neighbours by low-dimensional stable projections and kd-trees.
 
 Vectors of d dimensions are projected to `m` by a Gaussian (2-stable) matrix: the squared
 projected distance of two vectors is their squared distance times a chi-square variable with m
@@ -8,17 +8,20 @@ holds: projected distance**2 / d_k**2 > quantile_m(p), where d_k is the k-th bes
 far. A true neighbour then has been seen with probability p at least, so recall is at least p in
 expectation (0.97 by default).
 
-Distribution: the upper levels of the kd-tree split the table into cells of about `cell_rows`
-vectors (planes from a bounded sample; `cells` grows with the table and its boxes are small).
-Each cell searches its own vectors first; that bounds d_k, and the query then visits just the
-cells whose box is within its stopping radius, where the same search goes on with the bound
-found. Every vector is a query; nothing is capped.
+Distribution: equal vectors are one point, which stands for its k + 1 smallest ids (no other copy
+can be among anyone's k nearest). The upper levels of the kd-tree split the points into cells of
+about `cell_rows` (planes from a bounded sample; at most MAX_CELLS cells, so the tree of boxes that
+every task gets is bounded). Each cell first answers the queries that lie in it; that bounds
+d_k, and a descent of the tree of boxes names the cells within a query's stopping radius. There
+the same search goes on with the bound found. The visitors of a cell are cut into slices of
+`cell_rows`, each of which meets the cell's points in a task of its own. Every row that `ask` selects
+(all by default) is a query against all rows; nothing is capped.
 
 Defined results: vectors that are null, hold null or non-finite numbers, or whose length is not
 the table's most frequent one (ties: the shortest) take no part, nor do rows with a null id; of
 rows that share an id the smallest vector counts; equal vectors are neighbours at distance 0;
-ties in distance go to the smaller id; with fewer than k others, all are listed. An empty
-table gives an empty result.
+ties in distance go to the smaller id; with fewer than k others, all are listed. A null `ask` is no
+query. Other columns are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,19 +30,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colpattern.llm.common import batch, cut
+from colpattern.llm.common import batch, cut, maybe_broadcast, tidy
 
 #: Neighbours, dimensions of the projection, stopping probability, vectors of a cell, of a leaf.
-NEIGHBOURS, M, P, CELL_ROWS, LEAF = 10, 8, 0.97, 4096, 64
+NEIGHBOURS, M, P, CELL_ROWS, LEAF = 10, 8, 0.97, 2048, 64
+#: Most cells; beyond it cells grow.
+MAX_CELLS = 1 << 16
+#: Classes of equal vectors that may be broadcast.
+CLASSES = 100_000
 #: Most vectors that place the cells' planes, per cell and at least.
 SAMPLE_PER_CELL, SAMPLE = 32, 20_000
 
-_POINT = pa.schema([("vec_id", pa.int64()), ("vector", pa.binary()), ("low", pa.binary()), ("cell", pa.int32())])
-_POINT_DDL = "vec_id long, vector binary, low binary, cell int"
+_POINT = pa.schema([("vec_id", pa.int64()), ("ask", pa.bool_()), ("vector", pa.binary()), ("low", pa.binary()), ("cell", pa.int32())])
+_POINT_DDL = "vec_id long, ask boolean, vector binary, low binary, cell int"
 _FOUND = pa.schema([("vec_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("dists", pa.list_(pa.float64())), ("vector", pa.binary()), ("low", pa.binary()), ("bound", pa.float64()), ("visit", pa.list_(pa.int32()))])
 _FOUND_DDL = "vec_id long, ids array<long>, dists array<double>, vector binary, low binary, bound double, visit array<int>"
 _PART = pa.schema([("vec_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("dists", pa.list_(pa.float64()))])
@@ -135,10 +142,11 @@ def gaps(low: np.ndarray, mins: np.ndarray, maxs: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, low: np.ndarray, bound: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray]:
+def search(tree: Tree, vectors: np.ndarray, low: np.ndarray, bound: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray]:
     """(ids, squared distances) [queries, k] of the nearest, within the squared distances `bound`;
-    places that are left over have id -1 and distance inf."""
-    n = len(ids)
+    places that are left over have id -1 and distance inf. Leaves come by rising distance from the
+    queries, which are neighbours of each other; one that is out of a query's reach is not verified for it."""
+    n = len(vectors)
     best_d, best_i = np.full((n, k), np.inf), np.full((n, k), -1)
     worst = bound.copy()
     norm = (vectors**2).sum(1)
@@ -151,43 +159,84 @@ def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, low: np.ndarray, bo
         if not len(at):
             continue
         own = tree.leaf(leaf)
-        d = np.maximum(norm[at, None] + tree.norms[None, own] - 2 * (vectors[at] @ tree.vectors[own].T), 0)
-        p = ((low[at, None, :] - tree.low[None, own]) ** 2).sum(2)
-        d[(p > stop * worst[at, None]) | (tree.ids[None, own] == ids[at, None]) | (d > worst[at, None])] = np.inf
-        hit = np.isfinite(d).any(1)
-        if not hit.any():
+        d = vectors[at] @ tree.vectors[own].T
+        d *= -2
+        d += tree.norms[own]
+        d += norm[at, None]
+        hit = np.flatnonzero(d.min(1) <= worst[at] + 1e-12)
+        if not len(hit):
             continue
-        at, d = at[hit], d[hit]
+        at, d = at[hit], np.round(np.maximum(d[hit], 0), 12)
+        d[d > worst[at, None] + 1e-12] = np.inf
         all_d = np.concatenate([best_d[at], d], axis=1)
         all_i = np.concatenate([best_i[at], np.broadcast_to(tree.ids[own], d.shape)], axis=1)
-        order = np.lexsort((all_i, np.round(all_d, 12)), axis=1)[:, :k]
+        order = np.lexsort((all_i, all_d), axis=1)[:, :k]
         best_d[at], best_i[at] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
         worst[at] = np.minimum(worst[at], best_d[at, -1])
     best_i[~np.isfinite(best_d)] = -1
     return best_i, best_d
 
 
+class Boxes:
+    """The boxes of the cells and of the nodes above them, as a heap."""
+
+    def __init__(self, mins: np.ndarray, maxs: np.ndarray):
+        if len(mins) & (len(mins) - 1):
+            raise ValueError("cells must be a power of 2")
+        low, high = [mins], [maxs]
+        while len(low[0]) > 1:
+            low.insert(0, np.minimum(low[0][::2], low[0][1::2]))
+            high.insert(0, np.maximum(high[0][::2], high[0][1::2]))
+        self.mins, self.maxs = low, high
+
+    def within(self, low: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell) of the cells whose box is within the squared distance `reach` of a query, by query."""
+        row, node = np.arange(len(low)), np.zeros(len(low), np.int64)
+        for mins, maxs in zip(self.mins, self.maxs, strict=True):
+            if len(mins) > 1:
+                row, node = np.repeat(row, 2), np.repeat(node * 2, 2)
+                node[1::2] += 1
+            x = low[row]
+            ok = (np.maximum(np.maximum(mins[node] - x, x - maxs[node]), 0) ** 2).sum(1) <= reach[row]
+            row, node = row[ok], node[ok]
+        return row, node
+
+
 def _rows(ids: np.ndarray, best_i: np.ndarray, best_d: np.ndarray, schema: pa.Schema, *more) -> pa.RecordBatch:
-    ok = best_i >= 0
     ok = np.isfinite(best_d)
     off = pa.array(np.concatenate([[0], np.cumsum(ok.sum(1))]), pa.int32())
     return batch(schema, ids, pa.ListArray.from_arrays(off, pa.array(best_i[ok])), pa.ListArray.from_arrays(off, pa.array(np.sqrt(best_d[ok]))), *more)
 
 
 def _floats(column: pa.Array, kind=np.float64) -> np.ndarray:
-    return np.stack([np.frombuffer(x, kind) for x in column.to_pylist()]).astype(np.float64) if len(column) else np.zeros((0, 1))
+    """[rows, numbers] of a column of equally long byte strings."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 1))
+    _, off, data = column.buffers()
+    off = np.frombuffer(off, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(kind).reshape(len(column), -1).astype(np.float64)
+
 
+def _bytes(x: np.ndarray) -> pa.Array:
+    """The opposite of _floats."""
+    x = np.ascontiguousarray(x)
+    off = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.itemsize * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(off), pa.py_buffer(x)])
 
-def _groups(batches, key: str):
-    """Tables of the rows of one key each; rows come sorted by key."""
+
+def _groups(batches, *keys: str):
+    """Tables of the rows of one key each; rows come sorted by the keys."""
     held: list[pa.RecordBatch] = []
     for b in batches:
-        k = b.column(key).to_numpy()
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        if not b.num_rows:
+            continue
+        ks = [b.column(k).to_numpy() for k in keys]
+        new = np.logical_or.reduce([k[1:] != k[:-1] for k in ks])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi == lo:
-                continue
-            if held and held[-1].column(key)[0].as_py() != k[lo]:
+            if held and any(held[-1].column(c)[0].as_py() != k[lo] for c, k in zip(keys, ks, strict=True)):
                 yield pa.Table.from_batches(held).combine_chunks()
                 held = []
             held.append(b.slice(lo, hi - lo))
@@ -196,13 +245,14 @@ def _groups(batches, key: str):
 
 
 def _project(matrix: np.ndarray):
+    schema = pa.schema([("vec_id", pa.int64()), ("ask", pa.bool_()), ("vector", pa.binary()), ("low", pa.binary())])
+
     def run(batches):
-        schema = pa.schema([("vec_id", pa.int64()), ("vector", pa.binary()), ("low", pa.binary())])
         for b in batches:
-            v = b.column("v")
-            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(v), -1)
-            low = x.astype(np.float64) @ matrix
-            yield batch(schema, b.column("vec_id"), [r.tobytes() for r in x], [r.tobytes() for r in low])
+            if b.num_rows:
+                v = b.column("v")
+                x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(v), -1)
+                yield batch(schema, b.column("vec_id"), b.column("ask"), _bytes(x), _bytes(x.astype(np.float64) @ matrix))
 
     return run
 
@@ -211,92 +261,129 @@ def _assign(planes_):
     def run(batches):
         for b in batches:
             if b.num_rows:
-                yield batch(_POINT, *(b.column(c) for c in ("vec_id", "vector", "low")), cell_of(_floats(b.column("low")), planes_))
+                yield batch(_POINT, *(b.column(c) for c in ("vec_id", "ask", "vector", "low")), cell_of(_floats(b.column("low")), planes_))
 
     return run
 
 
-def _own(k: int, stop: float, mins: np.ndarray, maxs: np.ndarray):
-    """Search each cell for its own points; say which other cells each still has to visit."""
+def _tree(t: pa.Table) -> Tree:
+    return Tree(t.column("vec_id").to_numpy(), _floats(t.column("vector"), np.float32), _floats(t.column("low")))
+
+
+def _near(tree: Tree, t: pa.Table):
+    """Slices of at most LEAF queries that lie near each other: (their rows, vectors, projections)."""
+    low = _floats(t.column("low"))
+    leaf = np.concatenate([gaps(low[i : i + LEAF], tree.mins, tree.maxs).argmin(1) for i in range(0, len(low), LEAF)])
+    order = np.argsort(leaf, kind="stable")
+    for i in range(0, len(order), LEAF):
+        part = t.take(pa.array(order[i : i + LEAF]))
+        yield part, _floats(part.column("vector"), np.float32), _floats(part.column("low"))
+
+
+def _own(k: int, stop: float, boxes: Boxes):
+    """Rows sorted by cell. Answers each cell's queries from its own points; says which other cells each
+    still has to visit."""
 
     def run(batches):
         for t in _groups(batches, "cell"):
-            cell = t.column("cell")[0].as_py()
-            ids, vectors, low = t.column("vec_id").to_numpy(), _floats(t.column("vector"), np.float32), _floats(t.column("low"))
-            tree = Tree(ids, vectors, low)
-            for leaf in range(len(tree.bounds) - 1):
-                own = tree.leaf(leaf)
-                q, v, p = tree.ids[own], tree.vectors[own], tree.low[own]
-                i, d = search(tree, q, v, p, np.full(len(q), np.inf), k, stop)
+            asks = t.filter(t.column("ask"))
+            if not asks.num_rows:
+                continue
+            cell, tree = t.column("cell")[0].as_py(), _tree(t)
+            for part, v, p in _near(tree, asks):
+                i, d = search(tree, v, p, np.full(len(v), np.inf), k, stop)
                 bound = d[:, -1]
-                go = gaps(p, mins, maxs) <= stop * bound[:, None]
-                go[:, cell] = False
-                off = pa.array(np.concatenate([[0], np.cumsum(go.sum(1))]), pa.int32())
-                visit = pa.ListArray.from_arrays(off, pa.array(np.nonzero(go)[1].astype(np.int32)))
-                yield _rows(q, i, d, _FOUND, [r.astype(np.float32).tobytes() for r in v], [r.tobytes() for r in p], bound, visit)
+                row, to = boxes.within(p, stop * bound)
+                row, to = row[to != cell], to[to != cell]
+                off = pa.array(np.searchsorted(row, np.arange(len(v) + 1)), pa.int32())
+                visit = pa.ListArray.from_arrays(off, pa.array(to.astype(np.int32)))
+                yield _rows(part.column("vec_id").to_numpy(), i, d, _FOUND, _bytes(v.astype(np.float32)), _bytes(p), bound, visit)
 
     return run
 
 
 def _visit(k: int, stop: float):
-    """Rows sorted by (cell, is a query): the cell's points, then the queries that visit it."""
+    """Rows sorted by (cell, slice): the cell's points, whose bound is -inf, and the queries that visit it."""
 
     def run(batches):
-        for t in _groups(batches, "cell"):
+        for t in _groups(batches, "cell", "slice"):
             own = np.isneginf(t.column("bound").to_numpy())
             points, queries = t.filter(pa.array(own)), t.filter(pa.array(~own))
             if not queries.num_rows or not points.num_rows:
                 continue
-            tree = Tree(points.column("vec_id").to_numpy(), _floats(points.column("vector"), np.float32), _floats(points.column("low")))
-            near = np.argsort(gaps(_floats(queries.column("low")), tree.mins, tree.maxs).argmin(1), kind="stable")
-            for lo in range(0, len(near), LEAF):
-                part = queries.take(pa.array(near[lo : lo + LEAF]))
-                q = part.column("vec_id").to_numpy()
-                i, d = search(tree, q, _floats(part.column("vector"), np.float32), _floats(part.column("low")), part.column("bound").to_numpy().copy(), k, stop)
-                yield _rows(q, i, d, _PART)
+            tree = _tree(points)
+            for part, v, p in _near(tree, queries):
+                i, d = search(tree, v, p, part.column("bound").to_numpy().copy(), k, stop)
+                yield _rows(part.column("vec_id").to_numpy(), i, d, _PART)
 
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, m: int = M, p: float = P, cell_rows: int = CELL_ROWS, seed: int = 7, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(vec_id, rank, neighbour_id, distance): the k nearest of each vector, rank 1 the nearest."""
-    spark = vectors.sparkSession
+def _boxes(batches):
+    schema = pa.schema([("cell", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))])
+    for b in batches:
+        if b.num_rows:
+            low, cell = _floats(b.column("low")), b.column("cell").to_numpy()
+            order = np.argsort(cell, kind="stable")
+            low, cell = low[order], cell[order]
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            yield batch(schema, cell[first], np.minimum.reduceat(low, first).tolist(), np.maximum.reduceat(low, first).tolist())
+
+
+def _among(points: DataFrame, dims: int, k: int, m: int, p: float, cell_rows: int, seed: int) -> DataFrame:
+    """(q, id, distance): at least the k nearest points of each point that asks, itself among them.
+    points: (vec_id, ask, v), all different vectors of `dims` numbers."""
+    spark = points.sparkSession
     stop = chi2_quantile(p, m)
-    v = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<float>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
-    v = v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    points = cut(points.mapInArrow(tidy(_project(projection(dims, m, seed))), "vec_id long, ask boolean, vector binary, low binary"))
+    cells = min(MAX_CELLS, 1 << max(0, math.ceil(math.log2(max(1, points.count() / cell_rows)))))
+    sample = points.select("vec_id", "low").orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, SAMPLE_PER_CELL * cells)).toArrow()
+    cutting = planes(_floats(sample.column("low")), cells)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    points = cut(points.mapInArrow(tidy(_assign(cutting)), _POINT_DDL))
+    ends = [[F.expr(f"{f}({c}[{i}])").alias(f"{c}{i}") for i in range(m)] for f, c in (("min", "lo"), ("max", "hi"))]
+    got = points.mapInArrow(tidy(_boxes), "cell int, lo array<double>, hi array<double>").groupBy("cell").agg(*ends[0], *ends[1]).toPandas()  # a row per cell
+    mins, maxs = np.full((cells, m), np.inf), np.full((cells, m), -np.inf)
+    mins[got["cell"]], maxs[got["cell"]] = got[[f"lo{i}" for i in range(m)]], got[[f"hi{i}" for i in range(m)]]
+    boxes = Boxes(np.where(np.isinf(mins), 1e150, mins), np.where(np.isinf(maxs), -1e150, maxs))  # empty cells are nowhere
+    found = cut(points.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(tidy(_own(k, stop, boxes)), _FOUND_DDL))
+    asks = found.select("vec_id", "vector", "low", F.explode("visit").alias("cell"), "bound")
+    slices = cut(asks.groupBy(F.col("cell").alias("to")).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("slices")))  # at most MAX_CELLS rows
+    slices = F.broadcast(slices)
+    asks = asks.join(slices, F.col("cell") == F.col("to")).withColumn("slice", F.pmod(F.xxhash64("vec_id"), "slices").cast("int"))
+    there = points.join(slices, F.col("cell") == F.col("to")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("bound", F.lit(float("-inf")))
+    columns = ["vec_id", "vector", "low", "cell", "slice", "bound"]
+    met = there.select(*columns).unionByName(asks.select(*columns)).repartition(n, "cell", "slice").sortWithinPartitions("cell", "slice")
+    more = met.mapInArrow(tidy(_visit(k, stop)), _PART_DDL)
+    rows = found.select("vec_id", "ids", "dists").unionByName(more).select(F.col("vec_id").alias("q"), F.explode(F.arrays_zip("ids", "dists")).alias("x"))
+    return rows.select("q", F.col("x.ids").alias("id"), F.round("x.dists", 6).alias("distance"))
+
+
+def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, m: int = M, p: float = P, cell_rows: int = CELL_ROWS, seed: int = 7, key: str = "vec_id", column: str = "embedding", ask: Column | None = None) -> DataFrame:
+    """(vec_id, rank, neighbour_id, distance): the k nearest of each vector that `ask` selects (None: of
+    all), rank 1 the nearest."""
+    spark = vectors.sparkSession
+    v = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<float>").alias("v"), F.coalesce(F.lit(True) if ask is None else ask, F.lit(False)).alias("ask"))
+    v = v.where("vec_id is not null and v is not null and size(v) > 0").where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     dims = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dims is None:
         return spark.createDataFrame([], "vec_id long, rank int, neighbour_id long, distance double")
-    v = v.where(F.size("v") == dims["d"]).groupBy("vec_id").agg(F.min("v").alias("v"))
-    points = cut(v.mapInArrow(_project(projection(dims["d"], m, seed)), "vec_id long, vector binary, low binary"))
-    total = points.count()
-    cells = 1 << max(0, math.ceil(math.log2(max(1, total / cell_rows))))
-    most = max(SAMPLE, SAMPLE_PER_CELL * cells)
-    sample = points.select("vec_id", "low").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toArrow()
-    cutting = planes(_floats(sample.column("low").combine_chunks()), cells)
-    points = cut(points.mapInArrow(_assign(cutting), _POINT_DDL))
-    boxes = {r["cell"]: (r["lo"], r["hi"]) for r in points.mapInArrow(_boxes, "cell int, d int, lo double, hi double").groupBy("cell", "d").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "lo"))), lambda x: x["lo"]).alias("lo"), F.transform(F.array_sort(F.collect_list(F.struct("d", "hi"))), lambda x: x["hi"]).alias("hi")).collect()}
-    mins, maxs = np.full((cells, m), np.inf), np.full((cells, m), -np.inf)
-    for c, (lo, hi) in boxes.items():
-        mins[c], maxs[c] = lo, hi
-    mins[np.isinf(mins)], maxs[np.isinf(maxs)] = 1e300, 1e300  # empty cells are nowhere
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(points.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_own(k, stop, mins, maxs), _FOUND_DDL))
-    asks = found.select("vec_id", "vector", "low", F.explode("visit").alias("cell"), "bound")
-    there = points.withColumn("bound", F.lit(float("-inf"))).select("vec_id", "vector", "low", "cell", "bound")
-    more = there.unionByName(asks).repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_visit(k, stop), _PART_DDL)
-    rows = found.select("vec_id", "ids", "dists").unionByName(more).select("vec_id", F.explode(F.arrays_zip("ids", "dists")).alias("x"))
-    rows = rows.select("vec_id", F.col("x.ids").alias("neighbour_id"), F.round("x.dists", 6).alias("distance"))
-    order = Window.partitionBy("vec_id").orderBy("distance", "neighbour_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", "distance")
-
-
-def _boxes(batches):
-    schema = pa.schema([("cell", pa.int32()), ("d", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64())])
-    for b in batches:
-        if not b.num_rows:
-            continue
-        low, cell = _floats(b.column("low")), b.column("cell").to_numpy()
-        for c in np.unique(cell):
-            own = low[cell == c]
-            yield batch(schema, [c] * low.shape[1], list(range(low.shape[1])), own.min(0), own.max(0))
+    v = v.where(F.size("v") == dims["d"]).groupBy("vec_id").agg(F.min("v").alias("v"), F.bool_or("ask").alias("ask"))
+    v = cut(v.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float"))))  # -0 is 0
+    classes = cut(v.groupBy(F.col("v").alias("w")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.bool_or("ask").alias("asked")).where("n > 1"))
+    if classes.isEmpty():
+        rows = _among(v, dims["d"], k + 1, m, p, cell_rows, seed).where("q <> id")
+    else:
+        same = maybe_broadcast(classes, CLASSES)
+        copies = cut(v.join(same, F.col("v") == F.col("w")).select("vec_id", "rep", "ask"))
+        points = v.join(same, F.col("v") == F.col("w"), "left").where("rep is null or rep = vec_id").select("vec_id", F.coalesce("asked", "ask").alias("ask"), "v")
+        first = Window.partitionBy("rep").orderBy("vec_id")  # each task keeps k + 1 of a class before the shuffle
+        members = copies.withColumn("i", F.row_number().over(first)).where(F.col("i") <= k + 1).select(F.col("rep").alias("r"), F.col("vec_id").alias("member"))
+        asked = copies.where("ask").select(F.col("rep").alias("s"), F.col("vec_id").alias("asker"))
+        got = cut(_among(points, dims["d"], k + 1, m, p, cell_rows, seed))
+        got = got.join(maybe_broadcast(cut(members)), F.col("id") == F.col("r"), "left").select("q", F.coalesce("member", "id").alias("id"), "distance")
+        order = Window.partitionBy("q").orderBy("distance", "id")  # before hot classes of askers take their copies
+        got = got.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k + 1).drop("i")
+        rows = got.join(maybe_broadcast(cut(asked)), F.col("q") == F.col("s"), "left").select(F.coalesce("asker", "q").alias("q"), "id", "distance").where("q <> id")
+    order = Window.partitionBy("q").orderBy("distance", "id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("q").alias("vec_id"), "rank", F.col("id").alias("neighbour_id"), "distance")

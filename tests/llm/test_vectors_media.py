@@ -47,6 +47,32 @@ def test_many_equal_vectors(spark):
     assert len(got) == 900 and {r["distance"] for r in got} == {0.0}
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_copies_and_queries_match_brute_force(spark, monkeypatch, broadcast):
+    """A third of all rows are one vector, others repeat too; only some rows ask."""
+    monkeypatch.setattr(ann, "CLASSES", broadcast)
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, (240, 3)).astype(np.float32)
+    x[rng.permutation(240)[:80]] = x[0]
+    ask = rng.random(240) < 0.4
+    t = spark.createDataFrame([(i, v, bool(a), 1, "s") for i, (v, a) in enumerate(zip(x.tolist(), ask, strict=True))], "vec_id long, embedding array<float>, asks boolean, slice int, rep string")
+    got = {}
+    for r in ann.neighbours(t, k=6, p=1 - 1e-9, cell_rows=30, ask=t["asks"]).orderBy("vec_id", "rank").collect():
+        got.setdefault(r["vec_id"], []).append((r["distance"], r["neighbour_id"]))
+    d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(2)).round(6)
+    want = {i: sorted((d[i, j], j) for j in range(240) if j != i)[:6] for i in range(240) if ask[i]}
+    assert got == want
+
+
+def test_boxes_descend_to_every_near_cell():
+    rng = np.random.default_rng(2)
+    mins = rng.random((16, 4))
+    maxs = mins + rng.random((16, 4)) * 0.3
+    q, reach = rng.random((50, 4)) * 2, rng.random(50)
+    row, cell = ann.Boxes(mins, maxs).within(q, reach)
+    assert set(zip(row.tolist(), cell.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(ann.gaps(q, mins, maxs) <= reach[:, None])), strict=True))
+
+
 # ---------------------------------------------------------------- JPEG
 def means(data):
     n = max(1, -(-len(data) // 64))
