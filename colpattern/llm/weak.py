@@ -1,6 +1,7 @@
 """Quality classifier from weak labels: heuristics, EM over their accuracies, a hashed linear scorer.
 
-1. Eight overlapping heuristics vote good, bad or abstain on each document (`votes`).
+1. Eight overlapping heuristics vote good, bad or abstain on each document (`votes`). Four of them
+   (symbols, capitals, lags, prose) also say what is good; each defect is seen by two at least.
 2. Votes are a small code, so the corpus is summed up as counts per code (at most 3**8 rows,
    whatever its size). Expectation-maximisation on these counts estimates the share of good
    documents and, for each heuristic and class, how often it votes what, hence how accurate it is. Each code
@@ -33,8 +34,6 @@ BUCKET_BITS = 16
 KEEP = 0.5
 #: Trigrams that a text counts as having beside its own, which say nothing: short texts score near the bias.
 CALM = 64
-#: Least accuracy of a labeller's votes.
-LEAST_RIGHT = 0.9
 #: Distances at which a recurring word is a feature.
 LAGS = 8
 LABELLERS = ("symbols", "capitals", "bigrams", "lags", "word_length", "prose", "bars", "shouting")
@@ -104,10 +103,10 @@ def votes(t: _Texts) -> np.ndarray:
 
     out = np.stack(
         [
-            vote(kinds[:, 3] / size > 0.02),
-            vote((kinds[:, 2] / letters > 0.3) & (letters >= 20)),
+            vote(kinds[:, 3] / size > 0.02, (kinds[:, 3] / size < 0.005) & (words >= 3)),
+            vote((kinds[:, 2] / letters > 0.3) & (letters >= 20), (kinds[:, 2] / letters < 0.15) & (letters >= 10)),
             vote((repeated > 0.4) & (words >= 20)),
-            vote((lagged > 0.6) & (words >= 10)),
+            vote((lagged > 0.6) & (words >= 10), (lagged < 0.3) & (words >= 3)),
             vote((length < 2.5) | (length > 14)),
             vote((ends < 0.005) & (words >= 60), (ends > 0.02) & (ends < 0.35) & (kinds[:, 3] / size < 0.02) & (lagged < 0.3) & (kinds[:, 2] / letters < 0.2)),
             vote(per_word[0] > 0.05),
@@ -127,19 +126,26 @@ def decode(codes: np.ndarray) -> np.ndarray:
     return np.asarray(codes)[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
 
 
-def em(codes: np.ndarray, counts: np.ndarray, rounds: int = 300, tolerance: float = 1e-9) -> tuple[np.ndarray, float, np.ndarray]:
+#: What a labeller is taken to do before its votes are counted: abstain, vote bad, vote good on documents that
+#: are bad, good. And the share of good documents at first.
+HINT, PRIOR = ((0.5, 0.3, 0.2), (0.4, 0.05, 0.55)), 0.7
+#: Documents that the hint counts as in each class.
+HINT_WEIGHT = 2.0
+
+
+def em(codes: np.ndarray, counts: np.ndarray, rounds: int = 2000, tolerance: float = 1e-7) -> tuple[np.ndarray, float, np.ndarray]:
     """(posterior of good for each code, prior, vote probabilities [labeller, class, vote]).
 
     Most labellers know one defect and abstain without it, so an abstention is an outcome like the
-    votes. Pseudo-counts keep probabilities inside (0, 1) and say which class is which; a labeller's
-    votes for a class are taken to be right in LEAST_RIGHT of cases at least, without which a
-    rare defect would be explained as a kind of good document. Where none votes, the prior stands."""
+    votes. Nothing holds a labeller to be right: the vote probabilities are what the counts say. The
+    hint, from which the rounds start and which counts as HINT_WEIGHT documents, only says which of the two
+    classes is the good one and keeps probabilities inside (0, 1). Where none votes, the prior stands."""
     v = decode(codes)
     voted = (v != ABSTAIN).any(1)
     n = np.asarray(counts, float) * voted
-    hint = np.array([[0.55, 0.40, 0.05], [0.55, 0.02, 0.43]])  # of BAD, GOOD documents: abstain, bad, good
+    hint = np.array(HINT)
     prob = np.repeat(hint[None], v.shape[1], 0)
-    prior, post = 0.8, np.full(len(v), 0.8)
+    prior, post = PRIOR, np.full(len(v), PRIOR)
     for _ in range(rounds):
         log = np.log([1 - prior, prior])[None, :].repeat(len(v), 0)
         for j in range(v.shape[1]):
@@ -152,11 +158,7 @@ def em(codes: np.ndarray, counts: np.ndarray, rounds: int = 300, tolerance: floa
         prior = float(np.clip((n * post).sum() / n.sum(), 0.01, 0.99))
         for j in range(v.shape[1]):
             tally = np.stack([np.bincount(v[:, j], weights=w, minlength=3) for w in (n * (1 - post), n * post)])
-            for vote, right in ((BAD, 0), (GOOD, 1)):
-                both = tally[:, vote].sum()
-                tally[right, vote] = max(tally[right, vote], LEAST_RIGHT * both)
-                tally[1 - right, vote] = both - tally[right, vote]
-            tally += 2 * hint
+            tally += HINT_WEIGHT * hint
             prob[j] = tally / tally.sum(1, keepdims=True)
     return post, prior, prob
 
