@@ -1,4 +1,4 @@
-"""Shared pieces of the training-data operators: shared storage, lineage cuts, word hashing.
+"""Shared pieces of the training-data operators: rows and their ids, memory, word hashing.
 
 Words are maximal runs of bytes above 0x20 in the UTF-8 text; every other byte separates.
 All hashing is vectorised over the Arrow string buffers, half a megabyte at a time, so a
@@ -9,8 +9,6 @@ its own, hashed in blocks).
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from colpattern.storage import cut, fits_broadcast, fresh_path, maybe_broadcast  # noqa: F401  (the operators take them from here)
+
 #: Bytes of text that are hashed at a time.
 CHUNK_BYTES = 1 << 19
-#: Rows of (id, small payload) that may be broadcast; beyond it the same join shuffles.
-BROADCAST_ROWS = 1_000_000
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
@@ -30,46 +28,15 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE_HASH = np.random.default_rng(20_240_501).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 
-# ---------------------------------------------------------------- storage and lineage
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where it is unset."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_colpattern_shared", None)
-    if not at:
-        at = sc._colpattern_shared = "file://" + tempfile.mkdtemp(prefix="colpattern-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
+# ------------------------------------------------ tables
 def modest_batches(spark: SparkSession) -> None:
     """Hand texts to Python 8 MB at a time unless the session says otherwise (the default is 64 MB
-    for each of the JVM, the socket and the worker)."""
+    for each of the JVM, the socket and the worker). The setting stays, as plans run later."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) in ("67108864b", "64MB", "67108864"):
         spark.conf.set(key, str(8 << 20))
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there: survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `rows` rows; reads no more of df than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint when it is small enough, as it is (so shuffled) otherwise."""
-    return F.broadcast(df) if fits_broadcast(df, rows) else df
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever its case."""
     have = {c.lower() for c in df.columns}
@@ -79,18 +46,29 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def one_row_per_id(docs: DataFrame) -> DataFrame:
-    """docs without repeated doc_ids (of several rows the one with the least text stays) and
-    without rows whose doc_id is null. Looks at the ids first: texts move only for ids that repeat."""
+    """docs without repeated doc_ids (the row whose text sorts first stays) and without rows whose doc_id is
+    null. Looks at the ids first: texts move only for ids that repeat."""
+    return split_ids(docs)[0]
+
+
+def split_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(a row for each doc_id, the rows of other texts under the same ids or None). Rows that share doc_id
+    and text are one; rows whose doc_id is null are in neither."""
     known = docs.where(F.col("doc_id").isNotNull())
-    again = known.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    if again.isEmpty():
-        return known
-    again = maybe_broadcast(cut(again))
+    again, t = fresh(docs, "_again"), fresh(docs, "_text")
+    repeated = known.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(again))
+    if repeated.isEmpty():
+        return known, None
+    repeated = maybe_broadcast(cut(repeated))
+    single = known.join(repeated, F.col("doc_id") == F.col(again), "left_anti")
+    several = known.join(repeated, F.col("doc_id") == F.col(again), "left_semi")
     n = fresh(docs, "_nth")
-    single = known.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    several = known.join(again, F.col("doc_id") == F.col("_again"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in ("text", *_sortable(docs))])
-    return single.unionByName(several.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(n))
+    order = Window.partitionBy("doc_id", "text").orderBy(*[F.col(c).asc_nulls_last() for c in _sortable(docs)] or ["doc_id"])
+    several = cut(several.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(n))
+    first = several.groupBy(F.col("doc_id").alias(again)).agg(F.min("text").alias(t))
+    several = several.join(maybe_broadcast(first), F.col("doc_id") == F.col(again))
+    least = F.col("text").eqNullSafe(F.col(t))
+    return single.unionByName(several.where(least).drop(again, t)), several.where(~least).drop(again, t)
 
 
 def _sortable(df: DataFrame) -> list[str]:
@@ -108,7 +86,7 @@ def word_count(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(r"[^\x00-\x20]+")), F.lit(0)).cast("long")
 
 
-# ---------------------------------------------------------------- memory of Python workers
+# ------------------------------------------------ memory of Python workers
 def release() -> None:
     """Give freed memory back to the system: workers stay alive between tasks, and what they keep is
     taken from the JVM beside them."""
@@ -143,7 +121,7 @@ def tidy_udf(f):
     return wrapped
 
 
-# ---------------------------------------------------------------- hashing
+# ------------------------------------------------ hashing
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits (splitmix64)."""
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)

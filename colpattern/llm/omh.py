@@ -17,14 +17,15 @@ wide as the allowed number of edits): similarity = 1 - edits / longer length >=
 Verified pairs are edges; the groups are the connected components.
 
 Scale: no texts move except those of documents that share a bucket; exact copies are collapsed
-first; a bucket's leader is compared in salted slices, so a group of a million copies is not
-one task's work. The only broadcast is a list of ids whose size is checked.
+first; buckets and clusters are summed up by aggregates that combine before the shuffle, and a
+bucket's leader is compared in salted slices, so a group of a million copies is not one task's work.
+What is broadcast is checked for its rows first; beyond that the same join shuffles.
 
 Defined results: texts without words (null, empty, white space) are no one's copies and form
 groups of their own; texts that differ only in white space are exact copies; of rows that
-share a doc_id, one stays (`one_row_per_id`); rows with a null doc_id are not compared:
-`groups` leaves them out and `drop_near_duplicates` keeps them. An empty table gives an
-empty result. The kept document of a group is that with the smallest doc_id.
+share doc_id and text, one stays; where rows share a doc_id but not the text, the text that sorts
+first stands for the id and the others are not compared. Nor are rows with a null doc_id. `groups`
+leaves both out and `drop_near_duplicates` keeps them. An empty table gives an empty result. The kept document of a group is that with the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colpattern.llm.common import batch, cut, fresh, hashed_words, maybe_broadcast, mix, modest_batches, one_row_per_id, signed, spread, text_of, tidy
+from colpattern.llm.common import batch, cut, fresh, hashed_words, maybe_broadcast, mix, modest_batches, one_row_per_id, signed, split_ids, spread, text_of, tidy
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a document.
 K, PICKS, SKETCHES = 3, 2, 40
@@ -200,7 +201,7 @@ def _sketches(k: int, picks: int, sketches: int, least: float):
     return run
 
 
-# ---------------------------------------------------------------- alignment
+# ------------------------------------------------ alignment
 def positions(words: list[int]) -> dict[int, int]:
     """For each word the bit set of the places where it stands."""
     out: dict[int, int] = {}
@@ -327,12 +328,12 @@ def verify(docs: DataFrame, edges: DataFrame, least: float = LEAST, slice_rows:
     return ready.mapInArrow(tidy(_compare(least)), "a long, b long, similarity double")
 
 
-# ---------------------------------------------------------------- components
+# ------------------------------------------------ components
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, root) for each end of the edges (a, b): root is the smallest id of its component.
 
-    Alternates large-star and small-star steps until nothing changes; each round is a
-    shuffle of the edges by one end, cut off from its lineage.
+    Alternates large-star and small-star steps until nothing changes (an error if that takes more
+    than `rounds`); each round is a shuffle of the edges by one end, cut off from its lineage.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
@@ -346,6 +347,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         was, state = state, e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if was == state:
             break
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
@@ -357,16 +360,17 @@ def plausible(a: str, b: str, least: float) -> Column:
     return (F.abs(n - m) <= most) & (differ <= 2 * most)
 
 
-def _apart(near: DataFrame, root: DataFrame) -> DataFrame:
-    """(key, doc_id, root, c, nth, big): of near (key, doc_id) the buckets that hold more than one
-    cluster; c is the size of the row's cluster there, nth the row's rank in it, big the largest cluster."""
-    n = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _apart(near: DataFrame, root: DataFrame) -> tuple[DataFrame, int, int]:
+    """(key, doc_id, root, big) of near (key, doc_id) in the buckets that hold more than one cluster, big
+    being the largest cluster there; the pairs across clusters; the rows of the largest cluster."""
     names = maybe_broadcast(root.select(F.col("id").alias("rid"), F.col("root").alias("now")))
     here = near.select("key", "doc_id").join(names, F.col("doc_id") == F.col("rid"), "left").select("key", "doc_id", F.coalesce("now", "doc_id").alias("root"))
-    bucket, cluster = Window.partitionBy("key"), Window.partitionBy("key", "root")
-    here = here.repartition(n, "key").withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket)}).where("lo <> hi")
-    here = here.withColumns({"c": F.count("*").over(cluster), "nth": F.row_number().over(cluster.orderBy("doc_id"))})
-    return cut(here.withColumn("big", F.max(F.struct("c", "root")).over(bucket)["root"]).select("key", "doc_id", "root", "c", "nth", "big"))
+    sizes = here.groupBy("key", "root").agg(F.count("*").alias("c"))  # combined before the shuffle, as a bucket may be hot
+    many = sizes.groupBy("key").agg(F.count("*").alias("clusters"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max(F.struct("c", "root")).alias("big")).where("clusters > 1")
+    many = cut(many.select(F.col("key").alias("k"), "n", "within", F.col("big.c").alias("c"), F.col("big.root").alias("big")))
+    crossing, largest = many.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2), F.max("c")).first()
+    rows = here.join(maybe_broadcast(many.select("k", "big")), F.col("key") == F.col("k")).select("key", "doc_id", "root", "big")
+    return cut(rows), int(crossing or 0), int(largest or 0)
 
 
 def _crossing(near: DataFrame, marks: DataFrame, least: float) -> DataFrame:
@@ -392,12 +396,13 @@ def _joined(root: DataFrame, edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKETCHES, least: float = LEAST) -> DataFrame:
     """(doc_id, group_id, n_words, keep) of each document; group_id is the smallest doc_id of its group."""
     own = one_row_per_id(text_of(docs))
-    sk = own.mapInArrow(tidy(_sketches(k, picks, sketches, least)), _SKETCH_DDL)
-    same = Window.partitionBy("h1", "h2", "n_words")
-    sk = cut(sk.withColumn("rep", F.when(F.col("n_words") > 0, F.min("doc_id").over(same)).otherwise(F.col("doc_id"))))
+    sk = cut(own.mapInArrow(tidy(_sketches(k, picks, sketches, least)), _SKETCH_DDL))
+    same = ["h1", "h2", "n_words"]  # found by an aggregate, as a third of all rows may be one text
+    copies = sk.where("n_words > 0").groupBy(*same).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in same], "first")
+    sk = sk.join(maybe_broadcast(cut(copies)), [F.col(c) == F.col(f"_{c}") for c in same], "left").withColumn("rep", F.coalesce("first", "doc_id")).drop("first", *[f"_{c}" for c in same])
     rows = sk.where("doc_id = rep and n_words > 0").select("doc_id", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    near = cut(rows.withColumn("a", F.min("doc_id").over(bucket)).withColumn("z", F.max("doc_id").over(bucket)).where("a <> z").select("key", "doc_id", "a"))
+    ends = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select(F.col("key").alias("k"), "a")
+    near = cut(rows.join(maybe_broadcast(cut(ends)), F.col("key") == F.col("k")).select("key", "doc_id", "a"))
     tried = near.where("doc_id <> a").groupBy("doc_id", "a").agg(F.count("*").alias("n")).groupBy(F.col("doc_id").alias("b")).agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     marks = sk.select(F.col("doc_id").alias("r"), F.struct("n_words", "b0", "b1", "b2", "b3").alias("x"))
     tried = tried.join(marks.withColumnsRenamed({"r": "a", "x": "xa"}), "a").join(marks.withColumnsRenamed({"r": "b", "x": "xb"}), "b")
@@ -406,12 +411,14 @@ def groups(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKET
     root = components(first)
     grow, few = 1, PAIRS_A_ROW * near.count()
     while True:
-        near = _apart(near, root)
-        crossing, largest = near.groupBy("key").agg(F.count("*").alias("n"), F.sum("c").alias("within"), F.max("c").alias("c")).agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2), F.max("c")).first()
+        near, crossing, largest = _apart(near, root)
         if not crossing:
             break
         most = largest if crossing <= few else min(grow, largest)
-        pairs = cut(_crossing(near.where(F.col("nth") <= most), marks, least).join(tried, ["a", "b"], "left_anti"))
+        some = near
+        if most < largest:  # each task keeps `most` rows of a cluster before the shuffle
+            some = near.withColumn("nth", F.row_number().over(Window.partitionBy("key", "root").orderBy("doc_id"))).where(F.col("nth") <= most).drop("nth")
+        pairs = cut(_crossing(some, marks, least).join(tried, ["a", "b"], "left_anti"))
         root = _joined(root, cut(verify(own, pairs, least).select("a", "b")))
         if most == largest:
             break
@@ -422,9 +429,11 @@ def groups(docs: DataFrame, k: int = K, picks: int = PICKS, sketches: int = SKET
 
 
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
-    """docs with one document of each group, all columns kept; rows with a null doc_id stay."""
+    """docs with one document of each group, all columns kept; rows with a null doc_id and further
+    texts under an id stay."""
     modest_batches(docs.sparkSession)
     gone = fresh(docs, "_gone")
     drop = cut(groups(docs, **params).where("not keep").select(F.col("doc_id").alias(gone)))
-    one = one_row_per_id(docs).join(maybe_broadcast(drop), F.col("doc_id") == F.col(gone), "left_anti")
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    one, others = split_ids(docs)
+    one = one.join(maybe_broadcast(drop), F.col("doc_id") == F.col(gone), "left_anti").unionByName(docs.where(F.col("doc_id").isNull()))
+    return one if others is None else one.unionByName(others)

@@ -15,7 +15,8 @@ by the hash of their words before that.
 
 Defined results: only repeats in *different* documents count; the copy in the document with
 the smallest doc_id stays. Texts that are null, empty or shorter than `least` words have no
-spans. Rows that share a doc_id are one document (`one_row_per_id`). Rows with a null doc_id
+spans. Rows that share doc_id and text are one document; where rows share a doc_id but not the text,
+the text that sorts first is searched. Other texts under an id, and rows with a null doc_id,
 are left out of `spans` and stay as they are in `drop_repeats`. Windows are compared by
 64-bit hashes. An empty table gives an empty result.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colpattern.llm.common import batch, cut, fits_broadcast, fresh, hashed_words, maybe_broadcast, modest_batches, one_row_per_id, signed, spread, text_of, tidy, tidy_udf, window_hashes, word_bounds, word_count
+from colpattern.llm.common import batch, cut, fits_broadcast, fresh, hashed_words, maybe_broadcast, modest_batches, one_row_per_id, signed, split_ids, spread, text_of, tidy, tidy_udf, window_hashes, word_bounds, word_count
 
 #: Least words of a repeat.
 LEAST = 50
@@ -218,7 +219,7 @@ def drop_repeats(docs: DataFrame, **params) -> DataFrame:
     s, n, key = (fresh(docs, x) for x in ("_starts", "_lengths", "_key"))
     found = spans(docs, **params).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("start_word").alias(s), F.collect_list("n_words").alias(n))
     found = cut(found)
-    known = one_row_per_id(docs)
+    known, others = split_ids(docs)
     joined = known.join(maybe_broadcast(found), F.col("doc_id") == F.col(key), "left")
     hit = F.col(s).isNotNull()
     left = F.arrow_udf(tidy_udf(_cut), "string")(F.when(hit, F.col("text")), s, n)
@@ -227,4 +228,5 @@ def drop_repeats(docs: DataFrame, **params) -> DataFrame:
     columns = {"text": F.coalesce(F.col(new), F.col("text"))}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(hit, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(columns).select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
+    out = out.withColumns(columns).select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
+    return out if others is None else out.unionByName(others)

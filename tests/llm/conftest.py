@@ -1,7 +1,7 @@
 import pytest
 
 #: The columns of documents, and others whose names the operators use inside.
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, h long, n int, id long, _gone string, _starts string, rid long, pos int, `a b` string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, h long, n int, id long, _gone string, _starts string, rid long, pos int, `a b` string, _again long, _t double, _EPOCH int, _text string"
 
 
 @pytest.fixture(scope="session")
@@ -9,7 +9,7 @@ def docs(spark):
     """Makes a documents table, with clashing columns, from (doc_id, text[, lang[, source]]) rows."""
 
     def make(rows):
-        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s0", len(r[1] or ""), "k", 1, 2, 3, "g", "s", 4, 5, "x") for r in rows]
+        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s0", len(r[1] or ""), "k", 1, 2, 3, "g", "s", 4, 5, "x", 6, 7.0, 8, "t") for r in rows]
         return spark.createDataFrame(full, DOCS)
 
     return make

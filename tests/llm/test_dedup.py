@@ -191,6 +191,8 @@ def test_components(spark):
     got = {r["id"]: r["root"] for r in omh.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {90: 90, 95: 90, 100: 90}
     assert omh.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError):
+        omh.components(spark.createDataFrame(chain, "a long, b long"), rounds=1)
 
 
 def test_near_duplicates_odd_cases(docs, odd):
@@ -200,6 +202,10 @@ def test_near_duplicates_odd_cases(docs, odd):
     kept = omh.drop_near_duplicates(df)
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: x or 0) == [None, 1, 2, 3, 4, 5, 6, 7, 9]
+    apart = [(3, "one text under an id"), (3, "another text under it"), (3, "another text under it"), (5, "another text under it")]
+    kept = omh.drop_near_duplicates(docs(apart)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept)) == [(3, "another text under it"), (3, "one text under an id")]
+    assert sorted(map(tuple, substring.drop_repeats(docs(apart)).select("doc_id", "text").collect())) == sorted(set(apart))
     assert omh.groups(docs([])).count() == 0
     assert omh.drop_near_duplicates(docs([])).count() == 0
 
