@@ -44,7 +44,7 @@ def unescape_error(c: Column) -> Column:
     """What is wrong with an escaped text, or null."""
     left = F.regexp_replace(c, r"(?s)\\[>*~|_#$:\\ntr0e ]|[^\\]+", "")
     dangling = F.regexp_replace(c, r"(?s)\\.", "").endswith("\\")
-    return F.when(dangling, lit("Incomplete escape sequence at end of string")).when(left != "", lit("Unknown escape sequence"))
+    return F.when(dangling, lit("the text ends within an escape")).when(left != "", lit("no such escape"))
 
 
 def is_null_token(c: Column) -> Column:

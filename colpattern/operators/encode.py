@@ -17,13 +17,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colpattern.functions.text import escape, escape_dictionary, escape_name
+from colpattern.functions.text import escape
 from colpattern.operators import dictionary as D
+from colpattern.operators.chunk import COLUMN_DDL, HEAD_DDL, arrow_pass
 from colpattern.operators.detect import MIN_LENGTH, detect
 
 THRESHOLD = 1.2
+#: Most bytes of values, names and separators that one document takes.
+MAX_INPUT = 1 << 30
 #: Numbers whose text survives being read as a number.
-_PLAIN_NUMBER = r"^(0|-?[1-9][0-9]{0,17})$|^-?(0|[1-9][0-9]{0,5})\.[0-9]{0,8}[1-9]$|^-?[1-9][0-9]{0,8}\.[0-9]{0,5}[1-9]$"
+_PLAIN_NUMBER = r"^(0|-?[1-9][0-9]{0,17})\z|^-?(0|[1-9][0-9]{0,5})\.[0-9]{0,8}[1-9]\z|^-?[1-9][0-9]{0,8}\.[0-9]{0,5}[1-9]\z"
 
 
 def unsafe(v: Column) -> Column:
@@ -90,31 +93,31 @@ def streams(cells: DataFrame, chosen: DataFrame, entries: DataFrame, keys: Seque
     )
 
 
-def documents(cells: DataFrame, keys: Sequence[str], threshold: float = THRESHOLD, min_length: int = MIN_LENGTH, max_entries: int = D.MAX_ENTRIES, compat: bool = False, chosen: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
-    """(*keys, format, document, original_size, encoded_size, ratio) of each key's table.
+def documents(cells: DataFrame, keys: Sequence[str], threshold: float = THRESHOLD, min_length: int = MIN_LENGTH, max_entries: int = D.MAX_ENTRIES, compat: bool = False, max_input: int = MAX_INPUT) -> DataFrame:
+    """(*keys, format, document, original_size, encoded_size, ratio, dictionary_entries, entries_used,
+    columns) of each key's table; columns has a struct for each column.
 
     A document is one text, so one task writes it: chunk large tables by a key. cells:
-    (*keys, col_idx, col_name, rid, kind, v).
+    (*keys, col_idx, col_name, rid, kind, v), shuffled once by the keys and then seen by one Arrow pass.
     """
-    chosen = choose(cells, keys, min_length) if chosen is None else chosen
-    entries = D.build(D.frequencies(cells, keys), keys, max_entries) if entries is None else entries
-    cols = streams(cells, chosen, entries, keys)
-
-    def line(c: Column, sep: str) -> Column:
-        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", c.alias("t")))), lambda x: x["t"]), sep)
-
-    name = F.concat(F.lit("#"), escape_name(F.col("col_name")))
-    docs = cols.groupBy(*keys).agg(line(name, " ").alias("schema"), line(F.col("stream"), "|").alias("s"), line(F.col("plain"), "|").alias("p"), F.bool_or("bad").alias("bad"), F.sum("input_bytes").cast("long").alias("original_size"))
-    words = F.transform(F.array_sort(F.collect_list(F.struct("dict_idx", escape_dictionary(F.col("v")).alias("t")))), lambda x: x["t"])
-    table = entries.groupBy(*keys).agg(F.concat(F.lit("$default:"), F.array_join(words, "|"), F.lit("\n")).alias("dict"))
-    docs = docs.join(table, list(keys), "left")
-    encoded = F.concat(F.when(F.col("bad"), "!x1\n").otherwise("!v1\n"), F.coalesce("dict", F.lit("")), F.col("schema"), F.lit("\n"), F.col("s"))
-    docs = docs.withColumn("encoded", encoded).withColumn("encoded_size", F.octet_length("encoded").cast("long")).withColumn("ratio", F.col("original_size") / F.col("encoded_size"))
-    if compat:
-        docs = docs.withColumn("encoded", F.when(F.col("bad"), F.raise_error(F.lit("a value cannot be written in the compatible format")).cast("string")).otherwise(F.col("encoded")))
-    fallback = F.col("ratio") < threshold
-    plain = F.concat(F.when(F.col("bad"), "!xctx\n").otherwise("!ctx\n"), F.col("schema"), F.lit("\n"), F.col("p"))
-    return docs.select(*keys, F.when(fallback, "ctx").otherwise("v1").alias("format"), F.when(fallback, plain).otherwise(F.col("encoded")).alias("document"), "original_size", "encoded_size", "ratio")
+    names = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
+    ready = cells.select(*keys, F.col("col_idx").cast("int").alias("col_idx"), "col_name", F.col("rid").cast("long").alias("rid"), "kind", "v")
+    return ready.groupBy(*keys).applyInArrow(arrow_pass(list(keys), threshold, min_length, max_entries, compat, max_input), f"{names}, {HEAD_DDL}, columns array<{COLUMN_DDL}>")
+
+
+def document_stats(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What `column_stats` says, for the columns of `documents`."""
+    c = docs.select(*keys, F.explode("columns").alias("c")).select(*keys, "c.*")
+    out = F.col("output_bytes")
+    return c.withColumns({"ratio": F.when(out > 0, F.col("input_bytes") / out).otherwise(0.0), "bytes_saved": F.col("input_bytes") - out, "was_compressed": out < F.col("input_bytes")})
+
+
+def utilization(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(*keys, dictionary_entries, dictionary_utilization, dictionary_utilization_actual): 1 where a document has
+    entries and its streams refer to any, else 0; and the share of the entries that they refer to."""
+    entries, used = F.col("dictionary_entries"), F.col("entries_used")
+    share = F.when(entries > 0, used / entries).otherwise(0.0)
+    return docs.select(*keys, "dictionary_entries", F.when(used > 0, 1.0).otherwise(0.0).alias("dictionary_utilization"), share.alias("dictionary_utilization_actual"))
 
 
 def column_stats(cols: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -63,9 +63,11 @@ def value_at(j: Column, dictionary: Column | None = None) -> Column:
     )
 
 
-def expand(ops: DataFrame, keys: Sequence[str] = (), dictionary: str | None = None) -> DataFrame:
-    """(*keys, col_idx, rid, v): the values of each stream in order of its operators."""
+def expand(ops: DataFrame, keys: Sequence[str] = (), dictionary: str | None = None, limit: int = MAX_EXPANSION) -> DataFrame:
+    """(*keys, col_idx, rid, v): the values of each stream in order of its operators. An operator of more
+    than `limit` values, repetitions counted in, is an error."""
     n = expanded_count()
+    n = F.when(n > limit, F.raise_error(F.concat(F.lit("an operator has too many values: "), n.cast("string"))).cast("long")).otherwise(n)
     placed = ops.withColumn("_n", n).withColumn("_from", F.sum("_n").over(Window.partitionBy(*keys, "col_idx").orderBy("op_idx")) - F.col("_n"))
     rows = placed.where("_n > 0").withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     v = value_at(F.col("_j"), F.col(dictionary) if dictionary else None)
