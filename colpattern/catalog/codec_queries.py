@@ -11,9 +11,10 @@ from colpattern.operators import syslog as L
 from colpattern.plans import codec
 from colpattern.sources import document as Doc
 from colpattern.sources import tables as T
+from colpattern.storage import fresh_path
 from colpattern.streaming import chunks
 
-# ---------------------------------------------------------------- operators derived from part
+# ------------------------------------------------ operators derived from part
 _START, _END, _STEP, _REP = "p_size", "p_size + p_partkey % 20 * CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END", "(1 + p_partkey % 3) * CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END", "1 + p_partkey % 2"
 
 
@@ -99,17 +100,31 @@ def expand_document(spark, sf):
     return X.pivot(X.expand(ops.join(valid, "p_partkey", "left_semi"), ["p_partkey"], "dictionary"), ["a", "b"], ["p_partkey"])
 
 
-@query("document_info", "SELECT p_partkey, 2::BIGINT AS ranges, 1::BIGINT + p_partkey % 2 AS multipliers, 1::BIGINT AS toggles, 1::BIGINT AS dict_refs, 1::BIGINT AS raw_values FROM part")
+@query(
+    "document_info",
+    f"""WITH {_VALUES}, g AS (SELECT DISTINCT p_partkey, col_idx, op_idx, CASE WHEN col_idx = 1 OR op_idx = 0 THEN 'range' WHEN op_idx = 1 THEN 'toggle' WHEN op_idx = 2 THEN 'dict' ELSE 'raw' END AS kind, count(*) OVER (PARTITION BY p_partkey, col_idx, op_idx) AS n FROM x),
+    h AS (SELECT g.*, CASE WHEN col_idx = 0 AND op_idx = 0 THEN n // base WHEN kind = 'raw' THEN n ELSE 1 END AS times FROM g JOIN b USING (p_partkey))
+    SELECT p_partkey, count_if(kind = 'range') AS ranges, count_if(times > 1) AS multipliers, count_if(kind = 'toggle') AS toggles, count_if(kind = 'dict') AS dict_refs, count_if(kind = 'raw') AS raw_values FROM h GROUP BY p_partkey""",
+)
 def document_info(spark, sf):
+    """Operators by kind; the SQL counts them in the expanded values."""
     return X.info(_ops(spark, sf), ["p_partkey"])
 
 
-# ---------------------------------------------------------------- documents
+# ------------------------------------------------ documents
 def _orders(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("string").alias("o_orderdate"), "o_orderpriority")
 
 
-@query("compress_table")
+_ORDERS = I.documents_sql(
+    "orders",
+    [("o_orderkey", "integer", "CAST(o_orderkey AS VARCHAR)"), ("o_custkey", "integer", "CAST(o_custkey AS VARCHAR)"), ("o_orderstatus", "string", "o_orderstatus"), ("o_totalprice", "float", I.number_sql("o_totalprice")),
+     ("o_orderdate", "string", "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"), ("o_orderpriority", "string", "o_orderpriority")],
+    "o_orderkey // 1000", "o_orderkey % 1000",
+)
+
+
+@query("compress_table", f"WITH {_ORDERS} SELECT chunk, format, document, original_size, encoded_size, ratio FROM docs")
 def compress_table(spark, sf):
     """Documents of 1000 orders each."""
     return codec.compress(_orders(spark, sf), dense="o_orderkey", chunk_rows=1000)
@@ -128,7 +143,16 @@ def parse_document(spark, sf):
     return Doc.parse_documents(serialize_document(spark, sf)).select("chunk", "doc_format", "col_idx", "op_idx", "kind", "repeats", "text", "start", "end", "step", F.array_join("values", "~").alias("cycle"), "count", "dict_idx")
 
 
-@query("tokenize")
+_V1 = "(SELECT format FROM docs WHERE docs.chunk = y.chunk) = 'v1'"
+_TOKENS = f"""{_ORDERS}, tc AS (SELECT y.*, {_V1} AS v1, {_V1} AND op IS NOT NULL AS is_op, contains(op, ':') AS stepped FROM y),
+    ts AS (SELECT chunk, any_value(v1) AS v1, count(*) AS columns, count_if(is_op) AS ops, count_if(is_op AND stepped) AS steps, sum(CASE WHEN is_op THEN 0 WHEN v1 THEN own_ints ELSE ints END) AS ints,
+        sum(CASE WHEN is_op THEN 0 WHEN v1 THEN own_floats ELSE floats END) AS floats, sum(CASE WHEN is_op OR NOT v1 THEN 0 ELSE refs END) AS refs, sum(CASE WHEN is_op THEN 0 ELSE n END) AS literals FROM tc GROUP BY chunk),
+    tt AS (SELECT *, v1 AND chunk IN (SELECT chunk FROM dl) AS dict FROM ts),
+    tu AS (SELECT chunk, unnest([{{'token': 'version', 'n': 1}}, {{'token': 'dict_line', 'n': dict::INT}}, {{'token': 'newline', 'n': 2 + dict::INT}}, {{'token': 'name', 'n': columns}}, {{'token': '|', 'n': columns - 1}}, {{'token': '>', 'n': ops}}, {{'token': ':', 'n': steps}},
+        {{'token': 'int', 'n': ints + 2 * ops + steps}}, {{'token': 'float', 'n': floats}}, {{'token': 'ref', 'n': refs}}, {{'token': 'raw', 'n': literals - refs - ints - floats}}, {{'token': 'end', 'n': 1}}], recursive := true) FROM tt)"""
+
+
+@query("tokenize", f"WITH {_TOKENS} SELECT chunk, token, n::BIGINT AS n FROM tu WHERE n > 0")
 def tokenize(spark, sf):
     """How many tokens of each kind stand in the documents of orders."""
 
@@ -150,17 +174,77 @@ def roundtrip_table(spark, sf):
     return codec.decompress(compress_table(spark, sf), schema=_orders(spark, sf).schema).drop("chunk", "rid")
 
 
-@query("document_report")
+@query(
+    "document_report",
+    f"""WITH {_ORDERS}, rc AS (SELECT y.*, {_V1} AND op IS NOT NULL AS is_op, {_V1} AS v1 FROM y)
+    SELECT chunk, count(*) AS columns, max(n) AS rows, min(n) = max(n) AS valid, count_if(is_op AND contains(op, '>')) AS ranges, count_if(is_op AND NOT contains(op, '>')) AS multipliers, 0::BIGINT AS toggles, sum(CASE WHEN is_op OR NOT v1 THEN 0 ELSE refs END)::BIGINT AS dict_refs,
+    sum(CASE WHEN is_op THEN CASE WHEN contains(op, '>') THEN 0 ELSE 1 END WHEN v1 THEN n - refs ELSE n END)::BIGINT AS raw_values, (SELECT strlen(document) FROM docs WHERE docs.chunk = rc.chunk)::INTEGER AS document_bytes,
+    (max(n) * count(*) * 11 + sum(strlen(col_name) + 1))::BIGINT AS estimated_bytes FROM rc GROUP BY chunk""",
+)
 def document_report(spark, sf):
     """Shape, operators and sizes of the documents of orders."""
     return codec.info(compress_table(spark, sf))
 
 
-@query("chunk_documents")
+_EVENTS = I.documents_sql(
+    "(SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS nth FROM events)",
+    [("event_id", "integer", "CAST(event_id AS VARCHAR)"), ("ts", "string", "CAST(ts AS VARCHAR)"), ("user_id", "integer", "CAST(user_id AS VARCHAR)"), ("event_type", "string", "event_type"), ("value", "float", I.number_sql("value")), ("props", "string", "props")],
+    "nth // 1000", "nth % 1000",
+)
+
+
+# ------------------------------------------------ reports, files and streams
+@query(
+    "compress_report",
+    f"""WITH {_ORDERS} SELECT chunk, col_name, CASE WHEN op IS NULL THEN 'raw' WHEN NOT contains(op, '>') THEN 'repeat' WHEN contains(op, ':') THEN 'arithmetic' ELSE 'sequential' END AS pattern, n AS value_count, input_bytes, strlen(coalesce(op, raw))::BIGINT AS output_bytes,
+    input_bytes - strlen(coalesce(op, raw)) AS bytes_saved, strlen(coalesce(op, raw)) < input_bytes AS was_compressed, CASE WHEN op IS NULL THEN refs ELSE 0 END AS dict_refs, CASE WHEN op IS NULL THEN n - refs ELSE 0 END AS raws FROM y""",
+)
+def compress_report(spark, sf):
+    """What became of each column of each document of orders."""
+    stats = codec.compress_with_stats(codec.chunked_cells(_orders(spark, sf), dense="o_orderkey", chunk_rows=1000))[1]
+    return stats.select("chunk", "col_name", "pattern", "value_count", "input_bytes", "output_bytes", "bytes_saved", "was_compressed", "dict_refs", "raws")
+
+
+@query(
+    "dictionary_utilization",
+    f"""WITH {_ORDERS}, du AS (SELECT chunk, count(DISTINCT idx) AS used FROM dg JOIN y USING (chunk, col_idx) WHERE op IS NULL GROUP BY chunk), dn AS (SELECT chunk, count(*) AS entries FROM dd GROUP BY chunk)
+    SELECT chunk, coalesce(entries, 0) AS dictionary_entries, CASE WHEN used > 0 THEN 1.0::DOUBLE ELSE 0 END AS dictionary_utilization, CASE WHEN entries > 0 THEN used / entries::DOUBLE ELSE 0.0 END AS dictionary_utilization_actual FROM du LEFT JOIN dn USING (chunk)""",
+)
+def dictionary_utilization(spark, sf):
+    return codec.compress_with_stats(codec.chunked_cells(_orders(spark, sf), dense="o_orderkey", chunk_rows=1000))[2]
+
+
+@query("csv_oneshot", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def csv_oneshot(spark, sf):
+    """Customers to CSV files, these to documents, and a typed table from them."""
+    at = fresh_path(spark, "csv")
+    T.write_csv(table(spark, sf, "customer").select(F.col("c_custkey").alias("rid"), "c_custkey", "c_name", "c_acctbal", "c_mktsegment"), at)
+    return codec.decompress(codec.compress_csv(spark, at)).select(F.col("c_custkey").cast("long"), "c_name", F.col("c_acctbal").cast("double"), "c_mktsegment")
+
+
+@query("json_oneshot", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_oneshot(spark, sf):
+    """Nations as one JSON array, that as a document, and a table from it."""
+    at, t = fresh_path(spark, "json"), table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    spark.createDataFrame([(T.json_array(t.withColumn("rid", F.col("n_nationkey"))),)], "value string").write.text(at)  # 25 rows at any scale
+    return codec.decompress(codec.compress_json(spark, at)).select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
+
+
+@query("row_stream", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")
+def row_stream(spark, sf):
+    """Suppliers as documents in files, read back row by row as a stream."""
+    at, out = fresh_path(spark, "documents"), fresh_path(spark, "rows")
+    docs = codec.compress(table(spark, sf, "supplier").select("s_suppkey", "s_name"), order_by=["s_suppkey"])
+    docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").select("chunk", "document").write.partitionBy("chunk").text(at)
+    rows = chunks.read_rows(spark, at)
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("chunk_documents", f"WITH {_EVENTS} SELECT chunk, format, document, original_size, encoded_size, ratio FROM docs")
 def chunk_documents(spark, sf):
     """Events in their order in time, 1000 to a document."""
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
-    return chunks.chunk_documents(e, ["event_id"], chunk_rows=1000)
+    return chunks.chunk_documents(table(spark, sf, "events"), ["event_id"], chunk_rows=1000)
 
 
 @query("pandas_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -180,7 +264,7 @@ def array_roundtrip(spark, sf):
     return codec.decompress(docs).select(F.col("key").cast("long"), F.col("col1").cast("long"))
 
 
-# ---------------------------------------------------------------- log lines in SQL
+# ------------------------------------------------ log lines in SQL
 _HEAD = r"'^\s*(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S.*?)\s*$'"
 
 
@@ -213,17 +297,17 @@ coalesce(cls, 'parse_error') AS msg_type, rhost_ AS rhost, coalesce(user_, CASE
 
 @query("syslog_fields", f"WITH {_F} SELECT rid, month, day, time, hostname, rest FROM f")
 def syslog_fields(spark, sf):
-    return I.lines(spark, sf).select("rid", *[v.alias(k) for k, v in L.fields(F.col("line")).items()])
+    t = I.lines(spark, sf).select("rid", L.words(F.col("line")).alias("w"))
+    return t.select("rid", *[v.alias(k) for k, v in L.fields_of(F.col("w")).items()])
 
 
 @query("syslog_service", f"WITH {_F} SELECT rid, service, pid, message FROM g")
 def syslog_service(spark, sf):
-    return I.lines(spark, sf).select("rid", L.fields(F.col("line"))["rest"].alias("rest")).select("rid", *[v.alias(k) for k, v in L.service(F.col("rest")).items()])
+    return L.split_lines(I.lines(spark, sf), "line").select("rid", *[F.col(f"_{k}").alias(k) for k in ("service", "pid", "message")])
 
 
 def _messages(spark, sf):
-    t = I.lines(spark, sf).select("rid", L.fields(F.col("line"))["rest"].alias("rest"))
-    return t.select("rid", L.service(F.col("rest"))["message"].alias("m"))
+    return L.split_lines(I.lines(spark, sf), "line").select("rid", F.col("_message").alias("m"))
 
 
 @query("syslog_classify", f"WITH {_F} SELECT rid, {_CLASS} AS msg_type FROM g")
@@ -296,7 +380,21 @@ def intern_ids(spark, sf):
     return L.intern(table(spark, sf, "events").select(F.col("event_id").alias("rid"), "user_id"), "user_id")
 
 
-@query("syslog_codec")
+_CODEC = f"""{_COMPACT}, cx AS (SELECT rid // 10000 AS chunk, row_number() OVER (PARTITION BY rid // 10000 ORDER BY rid) - 1 AS nth, *, CASE WHEN code IN ('A', 'F', 'S') THEN v1 END AS ip, CASE WHEN code = 'A' THEN v2 WHEN code IN ('O', 'X') THEN v1 END AS usr FROM k WHERE mo IS NOT NULL),
+    cv AS (SELECT chunk, nth, 'S' AS tag, service AS val FROM cx UNION ALL SELECT chunk, nth, 'I', ip FROM cx UNION ALL SELECT chunk, nth, 'U', usr FROM cx),
+    ci AS (SELECT chunk, tag, val, row_number() OVER (PARTITION BY chunk, tag ORDER BY min(nth), val) - 1 AS id FROM cv WHERE val IS NOT NULL GROUP BY chunk, tag, val), ct AS (SELECT chunk, tag, string_agg(val, '|' ORDER BY id) AS words FROM ci GROUP BY chunk, tag),
+    cd AS (SELECT cv.chunk, nth, cv.tag, CASE WHEN id IS NULL THEN '-1' ELSE CAST(id AS VARCHAR) END AS v FROM cv LEFT JOIN ci ON cv.chunk = ci.chunk AND cv.tag = ci.tag AND cv.val = ci.val),
+    cc AS ({" UNION ALL ".join(f"SELECT chunk, nth, {k} AS k, '{n}' AS name, CAST({c} AS VARCHAR) AS v FROM cx" for k, n, c in ((0, "m", "mo"), (1, "d", "day"), (2, "H", "h"), (3, "M", "mi"), (4, "S", "sec"), (6, "p", "pid"), (7, "t", "CASE WHEN code = 'P' THEN '?' ELSE code END")))}
+        UNION ALL SELECT chunk, nth, CASE tag WHEN 'S' THEN 5 WHEN 'I' THEN 8 ELSE 9 END, CASE tag WHEN 'S' THEN 's' WHEN 'I' THEN 'i' ELSE 'u' END, v FROM cd),
+    cr AS (SELECT *, CASE WHEN v IS NOT DISTINCT FROM lag(v) OVER w AND nth > 0 THEN 0 ELSE 1 END AS new FROM cc WINDOW w AS (PARTITION BY chunk, k ORDER BY nth)), cg AS (SELECT *, sum(new) OVER (PARTITION BY chunk, k ORDER BY nth) AS run FROM cr),
+    cn AS (SELECT chunk, k, name, run, coalesce(min(v), '-') AS v, count(*) AS n, min(nth) AS nth FROM cg GROUP BY chunk, k, name, run),
+    cl AS (SELECT chunk, k, '@' || name || ':' || string_agg(CASE WHEN n > 2 THEN v || '*' || n || ' ' ELSE repeat(v || ' ', n) END, '' ORDER BY nth) || chr(10) AS line FROM cn GROUP BY chunk, k, name)"""
+
+
+@query(
+    "syslog_codec",
+    f"""WITH {_CODEC} SELECT chunk, '!L1' || chr(10) || {" || ".join(f"'${t}:' || coalesce((SELECT words FROM ct WHERE ct.chunk = cl.chunk AND tag = '{t}'), '') || chr(10)" for t in "SIU")} || string_agg(line, '' ORDER BY k) AS document FROM cl GROUP BY chunk""",
+)
 def syslog_codec(spark, sf):
     """Run-length coded documents of 10,000 lines."""
     lines = I.lines(spark, sf).withColumns({"chunk": F.floor(F.col("rid") / 10_000), "rid": F.col("rid") % 10_000})

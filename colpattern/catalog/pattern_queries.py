@@ -11,7 +11,7 @@ from colpattern.operators import encode as E
 from colpattern.operators import runs as R
 from colpattern.operators.detect import detect
 
-# ---------------------------------------------------------------- the detectors in SQL
+# ------------------------------------------------ the detectors in SQL
 _INT = "regexp_matches(trim(v), '^[+-]?[0-9]+$') AND try_cast(trim(v) AS BIGINT) IS NOT NULL"
 _SIGN = "length(CAST({x} AS VARCHAR))"
 
@@ -74,10 +74,11 @@ def detect_repeat(spark, sf):
     return _found(spark, sf, "repeat").select(*_out())
 
 
-@query("detect_toggle", f"""{_ALL} SELECT col_name, pattern, round(ratio, 6) AS ratio, array_to_string(head[1:k], '~') AS cycle FROM best WHERE pattern IN ('toggle', 'repeated_toggle')""")
+@query("detect_toggle", f"WITH {_PROFILE}, {_KS}, {_TOGGLE} SELECT dt.col_name, pattern, round(ratio, 6) AS ratio, array_to_string(head[1:dt.k], '~') AS cycle FROM dt JOIN s USING (col_name) WHERE ratio > 1")
 def detect_toggle(spark, sf):
-    """The columns that are a cycle, in whichever of the two forms is shorter."""
-    return _found(spark, sf, "toggle", "repeated_toggle").select("col_name", "pattern", F.round("ratio", 6).alias("ratio"), F.array_join("cycle", "~").alias("cycle"))
+    """The columns that are a plain cycle, whether or not repetition would say it shorter."""
+    t = detect(I.cells(spark, sf), only=("toggle",)).where("pattern = 'toggle'")
+    return t.select("col_name", "pattern", F.round("ratio", 6).alias("ratio"), F.array_join("cycle", "~").alias("cycle"))
 
 
 @query("detect_repeated_range", f"{_ALL} SELECT {_OUT_SQL}, repeats FROM best WHERE pattern = 'repeated_range'")
@@ -108,7 +109,7 @@ def column_encoding_choice(spark, sf):
     return E.choose(c).join(F.broadcast(names), "col_idx").select("col_name", "pattern", "operator")
 
 
-# ---------------------------------------------------------------- runs
+# ------------------------------------------------ runs
 def _column(spark, sf, name: str):
     return table(spark, sf, "events").select(F.col("event_id").alias("rid"), F.col(name).alias("v"))
 
@@ -146,10 +147,10 @@ def arithmetic_segments(spark, sf):
     return R.arithmetic_segments(_column(spark, sf, "user_id"))
 
 
-@query("int_kernels", "SELECT sum(user_id)::BIGINT AS total, min(user_id) AS least, max(user_id) AS most, bool_and(event_id = event_id) AS equal FROM events")
+@query("int_kernels", "SELECT sum(user_id)::BIGINT AS total, min(user_id) AS least, max(user_id) AS most, count(*) FILTER (WHERE user_id = event_id % 100) AS equal FROM events")
 def int_kernels(spark, sf):
     e = table(spark, sf, "events")
-    return e.agg(F.try_sum("user_id").alias("total"), F.min("user_id").alias("least"), F.max("user_id").alias("most"), F.bool_and(F.col("event_id") == F.col("event_id")).alias("equal"))
+    return e.agg(F.try_sum("user_id").alias("total"), F.min("user_id").alias("least"), F.max("user_id").alias("most"), F.count_if(F.col("user_id") == F.col("event_id") % 100).alias("equal"))
 
 
 @query("rle_encode", _RUNS.format(v="event_type") + """ SELECT string_agg(CASE WHEN run_count > 2 THEN run_value || '*' || CAST(run_count AS VARCHAR) || ' ' ELSE repeat(run_value || ' ', run_count::INT) END, '' ORDER BY run_start) AS encoded FROM r""")
@@ -157,7 +158,7 @@ def rle_encode(spark, sf):
     return R.rle_encode(_column(spark, sf, "event_type"))
 
 
-# ---------------------------------------------------------------- dictionary
+# ------------------------------------------------ dictionary
 def _strings(spark, sf):
     parts = [("events", "event_type"), ("orders", "o_orderpriority"), ("part", "p_type"), ("customer", "c_mktsegment"), ("part", "p_brand")]
     out = None
@@ -217,7 +218,7 @@ def all_boolean(spark, sf):
     return D.all_boolean(I.cells(spark, sf))
 
 
-# ---------------------------------------------------------------- sizes and statistics
+# ------------------------------------------------ sizes and statistics
 @query("ctx_encode", f"WITH {I.CELLS_SQL} SELECT col_name, rid, regexp_replace(v, '([>*~|_#$:\\\\ ])', '\\\\\\1', 'g') AS token FROM c")
 def ctx_encode(spark, sf):
     """The plain form: every value a literal."""

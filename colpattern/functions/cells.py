@@ -48,10 +48,9 @@ def csv_kind(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), "null").otherwise(_kind(trim(text)))
 
 
-def csv_repr(text: Column) -> Column:
-    """The canonical text of a CSV field; a string keeps its white space."""
-    t = trim(text)
-    return _canonical(csv_kind(text), t, text)
+def csv_repr(text: Column, kind: Column | None = None) -> Column:
+    """The canonical text of a CSV field, whose kind may be known; a string keeps its white space."""
+    return _canonical(csv_kind(text) if kind is None else kind, trim(text), text)
 
 
 def decoded_kind(text: Column) -> Column:
@@ -75,20 +74,21 @@ def _canonical(kind: Column, number: Column, text: Column) -> Column:
     )
 
 
-def float_text(d: Column) -> Column:
+def float_text(d: Column, digits: Column | None = None) -> Column:
     """Digits of a double without exponent or trailing `.0`: 1, 0.0000000001, 10000000000000000."""
-    s = d.cast("string")
+    s = d.cast("string") if digits is None else digits
+    short = F.when(s.endswith(".0"), F.substring(s, F.lit(1), F.length(s) - 2)).otherwise(s)
+    return F.when(F.isnan(d), "NaN").when(d == float("inf"), "inf").when(d == float("-inf"), "-inf").when(s.contains("E"), _without_exponent(s)).otherwise(short)
+
+
+def _without_exponent(s: Column) -> Column:
     sign = F.when(s.startswith("-"), "-").otherwise("")
-    body = F.regexp_replace(s, "^-", "")
-    whole, frac = F.regexp_extract(body, r"^([0-9]+)\.", 1), F.regexp_extract(body, r"\.([0-9]+)", 1)
+    whole, frac = F.regexp_extract(s, r"^-?([0-9]+)\.", 1), F.regexp_extract(s, r"\.([0-9]+)", 1)
     frac = F.when(frac == "0", "").otherwise(frac)
-    e = F.coalesce(F.regexp_extract(body, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    e = F.coalesce(F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
     digits = F.concat(whole, frac)
     big = F.when(F.length(frac) <= e, F.concat(digits, F.repeat(F.lit("0"), e - F.length(frac)))).otherwise(F.concat(F.substring(digits, F.lit(1), F.length(whole) + e), F.lit("."), F.substring(digits, F.length(whole) + e + 1, F.length(digits))))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
-    plain = F.regexp_replace(body, r"\.0$", "")
-    text = F.when(~body.contains("E"), plain).when(e >= 0, big).otherwise(small)
-    return F.when(F.isnan(d), "NaN").when(d == float("inf"), "inf").when(d == float("-inf"), "-inf").otherwise(F.concat(sign, text))
+    return F.concat(sign, F.when(e >= 0, big).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)))
 
 
 def value_kind(c: Column, kind: T.DataType) -> Column:
@@ -97,10 +97,14 @@ def value_kind(c: Column, kind: T.DataType) -> Column:
     return F.when(c.isNull(), "null").otherwise(name)
 
 
-def value_repr(c: Column, kind: T.DataType) -> Column:
-    """The canonical text of a typed column's values."""
-    text = float_text(c.cast("double")) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.to_json(c) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
-    return F.when(c.isNull(), "\\0").when(text == "", "\\e").otherwise(text)
+def value_repr(c: Column, kind: T.DataType, digits: Column | None = None) -> Column:
+    """The canonical text of a typed column's values. digits: the cast of a float's double to a string, if
+    there is a column that has it."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(c.isNull(), "\\0").otherwise(float_text(c.cast("double"), digits))
+    text = F.to_json(c) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
+    empty = F.when(text == "", "\\e").otherwise(text) if isinstance(kind, (T.StringType, T.BinaryType)) else text
+    return F.when(c.isNull(), "\\0").otherwise(empty)
 
 
 def typed(kind: Column, text: Column) -> dict[str, Column]:
@@ -132,12 +136,18 @@ def can_represent(type_: Column, kind: Column) -> Column:
 
 def to_cells(df: DataFrame, rid: str = "rid", keys: tuple[str, ...] = (), infer: bool = False) -> DataFrame:
     """Long form of a table: (*keys, col_idx, col_name, rid, kind, v). With infer, string columns are
-    read like CSV fields; else kinds follow the column types. One pass, no shuffle."""
+    read like CSV fields; else kinds follow the column types. No shuffle; what texts and kinds are made
+    from is a projection of its own, so that it is worked out once for a value."""
     fields = [f for f in df.schema.fields if f.name not in (rid, *keys)]
+    floats = {f"_digits{k}": F.col(f"`{f.name}`").cast("double").cast("string") for k, f in enumerate(fields) if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    kinds = {f"_kind{k}": csv_kind(F.col(f"`{f.name}`")) for k, f in enumerate(fields) if infer and isinstance(f.dataType, T.StringType)}
     items = []
     for k, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        text = infer and isinstance(f.dataType, T.StringType)
-        items.append(F.struct(F.lit(k).alias("col_idx"), F.lit(f.name).alias("col_name"), (csv_kind(c) if text else value_kind(c, f.dataType)).alias("kind"), (csv_repr(c) if text else value_repr(c, f.dataType)).alias("v")))
-    out = df.select(*keys, F.col(rid).cast("long").alias("rid"), F.explode(F.array(*items)).alias("x"))
+        if f"_kind{k}" in kinds:
+            kind, v = F.col(f"_kind{k}"), csv_repr(c, F.col(f"_kind{k}"))
+        else:
+            kind, v = value_kind(c, f.dataType), value_repr(c, f.dataType, F.col(f"_digits{k}") if f"_digits{k}" in floats else None)
+        items.append(F.struct(F.lit(k).alias("col_idx"), F.lit(f.name).alias("col_name"), kind.alias("kind"), v.alias("v")))
+    out = df.select("*", *[c.alias(n) for n, c in (floats | kinds).items()]).select(*keys, F.col(rid).cast("long").alias("rid"), F.explode(F.array(*items)).alias("x"))
     return out.select(*keys, "x.col_idx", "x.col_name", "rid", "x.kind", "x.v")

@@ -2,23 +2,27 @@
 
 Every detector compares the value at position i with a function of i, so with a dense row index
 `rid` (0, 1, ...) a pattern is a conjunction over rows and a pattern's length a minimum over the
-rows that break it: both are associative and combine on the map side. Three passes:
+rows that break it: both are associative and combine on the map side, in aggregates of numbers that
+hash and need no sort. The first eight values of each column say what to expect (rows with a small
+rid only, so the filter reaches the scan). Then there are two passes:
 
-1. per column: length, bytes, the first eight values, number checks;
-2. the first row that breaks the arithmetic sequence and each cycle of 2 to 8 values;
-3. for the few periods that are left as candidates: does the whole column repeat with it?
+1. per column: length, bytes, number checks, and the first row that breaks the arithmetic sequence and
+   each cycle of 1 to 8 values;
+2. for the few periods that are left as candidates: does the whole column repeat with it?
 
 A column may be keyed by several columns (say, chunk and column), so many short columns are
-handled in the same three passes as one long one.
+handled in the same passes as one long one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colpattern.functions.cells import as_integer, trim
-from colpattern.storage import cut
+from colpattern.storage import cut, maybe_broadcast
 
 #: Longest cycle that counts as a toggle, and longest chunk of a repeated range.
 MAX_CYCLE, MAX_PERIOD = 8, 100_000
@@ -35,28 +39,28 @@ def range_length(start: Column, end: Column, step: Column) -> Column:
     return digits(start) + 1 + digits(end) + F.when(F.abs(step) == 1, 0).otherwise(1 + digits(step))
 
 
-def profile(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Pass 1: (*keys, n, bytes, mn, mx, ints, canonical, head, v0, step)."""
-    number = as_integer(trim(F.col("v")))
+def heads(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, head, lens, v0, step): the first eight values, their bytes, and the sequence they begin."""
     at = [F.max(F.when(F.col("rid") == i, F.col("v"))) for i in range(MAX_CYCLE)]
-    out = cells.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(F.octet_length("v")).cast("long").alias("bytes"), F.min("v").alias("mn"), F.max("v").alias("mx"),
-        F.bool_and(number.isNotNull()).alias("ints"), F.bool_and(F.coalesce(F.col("v") == number.cast("string"), F.lit(False))).alias("canonical"), F.array(*at).alias("head"),
-    )
-    out = out.withColumn("lens", F.transform("head", lambda x: F.octet_length(x).cast("long")))
+    out = cells.where(F.col("rid") < MAX_CYCLE).groupBy(*keys).agg(F.array(*at).alias("head"))
     first, second = as_integer(trim(F.col("head")[0])), as_integer(trim(F.col("head")[1]))
-    return out.withColumns({"v0": F.when(F.col("ints"), first), "step": F.when(F.col("ints"), F.try_subtract(second, first))})
+    return out.withColumns({"lens": F.transform("head", lambda x: F.octet_length(x).cast("long")), "v0": first, "step": F.try_subtract(second, first)})
 
 
-def breaks(cells: DataFrame, prof: DataFrame, keys: list[str]) -> DataFrame:
-    """Pass 2: prof with range_break and cycle_break (an array for k = 2 to 8): the first rid at which
-    the value is not what the sequence or cycle says; null where there is none."""
-    number = as_integer(trim(F.col("v")))
+def profile(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Pass 1: (*keys, n, bytes, ints, canonical, range_break, repeat_break, cycle_break, head, lens, v0, step).
+    A break is the first rid at which the value is not what the sequence or cycle says, null where there
+    is none; cycle_break is an array for k = 2 to 8."""
+    head = maybe_broadcast(cut(heads(cells, keys)))
+    number = F.col("_number")
     expected = F.try_add(F.col("v0"), F.try_multiply(F.col("rid"), F.col("step")))
-    broken = F.min(F.when(~F.coalesce(number == expected, F.lit(False)), F.col("rid")))
-    cycles = [F.min(F.when(F.col("v") != F.element_at("head", (F.col("rid") % k + 1).cast("int")), F.col("rid"))) for k in range(2, MAX_CYCLE + 1)]
-    found = cells.join(prof.select(*keys, "head", "v0", "step"), keys).groupBy(*keys).agg(broken.alias("range_break"), F.array(*cycles).alias("cycle_break"))
-    return prof.join(found, keys)
+    broken = [F.min(F.when(F.col("v") != F.element_at("head", (F.col("rid") % k + 1).cast("int")), F.col("rid"))) for k in range(1, MAX_CYCLE + 1)]
+    seen = cells.join(head, keys).withColumn("_number", as_integer(trim(F.col("v"))))
+    found = seen.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(F.octet_length("v")).cast("long").alias("bytes"), F.bool_and(number.isNotNull()).alias("ints"), F.bool_and(F.coalesce(F.col("v") == number.cast("string"), F.lit(False))).alias("canonical"),
+        F.min(F.when(~F.coalesce(number == expected, F.lit(False)), F.col("rid"))).alias("range_break"), broken[0].alias("repeat_break"), F.array(*broken[1:]).alias("cycle_break"),
+    )
+    return found.join(head, keys)
 
 
 def _bytes_of(n: Column) -> Column:
@@ -93,7 +97,7 @@ def candidates(stats: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def confirm(cells: DataFrame, cands: DataFrame, keys: list[str]) -> DataFrame:
-    """Pass 3: (*keys, range_p, toggle_p, toggle_k) of the candidates with which the column repeats."""
+    """Pass 2: (*keys, range_p, toggle_p, toggle_k) of the candidates with which the column repeats."""
     p, k = F.col("p"), F.col("k")
     number = as_integer(trim(F.col("v")))
     same = F.when(F.col("what") == "range", number == F.try_add(F.col("v0"), F.try_multiply(F.col("rid") % p, F.col("step")))).otherwise(F.col("v") == F.element_at("head", F.when(k > 0, F.pmod(F.col("rid") % p, k) + 1).otherwise(1).cast("int")))
@@ -101,17 +105,25 @@ def confirm(cells: DataFrame, cands: DataFrame, keys: list[str]) -> DataFrame:
     return held.groupBy(*keys).agg(F.min(F.when(F.col("what") == "range", p)).alias("range_p"), F.min(F.when(F.col("what") == "toggle", F.struct("p", "k"))).alias("t")).select(*keys, "range_p", F.col("t.p").alias("held_p"), F.col("t.k").alias("held_k"))
 
 
-def detect(cells: DataFrame, keys: list[str] | None = None, min_length: int = MIN_LENGTH) -> DataFrame:
+#: Names of the detectors, in the order in which they win ties.
+DETECTORS = ("range", "repeat", "toggle", "repeated_range", "repeated_toggle")
+#: Further detectors: a name, and a function of the columns of `profile` (and min_length) that gives, as Columns, a
+#: condition, the cost in characters and the pattern's fields (start, end, step, k, p; all may be left out).
+EXTRA: dict[str, Callable[[int], tuple[Column, Column, dict[str, Column]]]] = {}
+
+
+def detect(cells: DataFrame, keys: list[str] | None = None, min_length: int = MIN_LENGTH, only: Sequence[str] | None = None) -> DataFrame:
     """The best pattern of each column: (*keys, n, pattern, ratio, start, end, step, cycle, period,
     repeats). cells: (*keys, rid, v), rid dense from 0 within the keys.
 
     Ratios: original characters with separators, over those of the operator. The better ratio
-    wins; ties go to the earlier of range, repeat, toggle, repeated range, repeated toggle.
+    wins; ties go to the earlier of range, repeat, toggle, repeated range, repeated toggle, then those of
+    EXTRA. only: the detectors that are asked (None: all).
     """
     keys = keys or ["col_name"]
     cells = cells.select(*keys, "rid", "v")
-    stats = cut(breaks(cells, profile(cells, keys), keys))  # a row per column: cheap to keep, dear to plan again
-    held = confirm(cells, candidates(stats, keys), keys)
+    stats = cut(profile(cells, keys))  # a row per column: cheap to keep, dear to plan again
+    held = confirm(cells, maybe_broadcast(cut(candidates(stats, keys))), keys)
     n = F.col("n")
     # the shortest cycle, and the least multiple of it (twice at least) that divides the length
     ks = F.filter(F.sequence(F.lit(2).cast("long"), F.lit(MAX_CYCLE).cast("long")), lambda k: (n >= k) & F.get("cycle_break", (k - 2).cast("int")).isNull() & _varied(k))
@@ -139,13 +151,20 @@ def detect(cells: DataFrame, keys: list[str] | None = None, min_length: int = MI
     v0, step = F.col("v0"), F.col("step")
     last = F.try_add(v0, F.try_multiply(n - 1, step))
     kind = F.when(F.abs(step) == 1, "sequential").otherwise("arithmetic")
-    options = [option(kind, F.col("ints") & (step != 0) & F.col("range_break").isNull() & last.isNotNull(), range_length(v0, last, step), v0, last, step)]
-    options.append(option("repeat", F.col("mn") == F.col("mx"), F.octet_length("mn") + 1 + digits(n), k=F.lit(1)))
-    options.append(option("toggle", k.isNotNull(), _toggle_cost(k, n), k=k))
     rp = F.col("range_p")
     end = v0 + (rp - 1) * step
-    options.append(option("repeated_range", rp.isNotNull(), range_length(v0, end, step) + 3 + digits(n / rp), v0, end, step, p=rp, least=4))
-    options.append(option("repeated_toggle", F.col("rt_p").isNotNull(), F.lit(11.0) + F.log10(n / F.col("rt_p")), k=F.col("rt_k"), p=F.col("rt_p"), least=4))
+    asked = {
+        "range": lambda: option(kind, F.col("ints") & (step != 0) & F.col("range_break").isNull() & last.isNotNull(), range_length(v0, last, step), v0, last, step),
+        "repeat": lambda: option("repeat", F.col("repeat_break").isNull(), F.col("lens")[0] + 1 + digits(n), k=F.lit(1)),
+        "toggle": lambda: option("toggle", k.isNotNull(), _toggle_cost(k, n), k=k),
+        "repeated_range": lambda: option("repeated_range", rp.isNotNull(), range_length(v0, end, step) + 3 + digits(n / rp), v0, end, step, p=rp, least=4),
+        "repeated_toggle": lambda: option("repeated_toggle", F.col("rt_p").isNotNull(), F.lit(11.0) + F.log10(n / F.col("rt_p")), k=F.col("rt_k"), p=F.col("rt_p"), least=4),
+    }
+    options = [f() for name, f in asked.items() if only is None or name in only]
+    for name, rule in EXTRA.items():
+        if only is None or name in only:
+            ok, cost, fields = rule(min_length)
+            options.append(option(name, ok, cost, **fields))
     best = F.filter(F.array(*options), lambda x: x.isNotNull())
     best = F.aggregate(best, F.lit(None).cast("struct<ratio:double,pattern:string,start:bigint,end:bigint,step:bigint,cycle:array<string>,period:bigint>"), lambda a, x: F.when(a.isNull() | (x["ratio"] > a["ratio"]), x).otherwise(a))
     out = stats.withColumn("best", best)

@@ -1,8 +1,9 @@
 """Syslog lines as Column expressions: fields, message classes, parameters, templates, rendering.
 
-A line is `Mon D HH:MM:SS host service[pid]: message`. Everything is regular expressions and
-ordered conditions, so parsing is one projection without a shuffle; only the numbering of
-strings by first appearance aggregates.
+A line is `Mon D HH:MM:SS host service[pid]: message`. Everything is string functions and ordered
+conditions, so parsing is projections without a shuffle; only the numbering of strings by first
+appearance aggregates. A line is split once, into a column that the next projection uses
+several times (so the optimiser leaves it in place), and the rest is found by positions.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from colpattern.storage import cut
 
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 CLASSES = ("auth_fail", "check_pass", "sess_open", "sess_close", "ftp_conn", "ftp_timeout", "svc_status", "logrotate", "syslog_restart", "snmp", "kerberos", "other")
-_HEAD = r"^\s*(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S.*?)\s*$"
+#: White space as regular expressions have it.
+_SPACE = " \t\n\x0b\f\r"
 
 
 def _group(c: Column, pattern: str, k: int = 1) -> Column:
@@ -27,32 +29,50 @@ def _group(c: Column, pattern: str, k: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, k), F.lit(""))
 
 
+def words(line: Column) -> Column:
+    """The first four words of a line and what follows them."""
+    return F.split(F.btrim(line, F.lit(_SPACE)), r"\s+", 5)
+
+
 def fields(line: Column) -> dict[str, Column]:
     """month, day, time, hostname, rest (service and message); all null where the line has fewer
     than five fields or no day."""
-    day = _group(line, _HEAD, 2)
-    day = F.when(day.rlike(r"^\+?[0-9]+$"), day.try_cast("int"))
+    return fields_of(words(line))
+
+
+def fields_of(w: Column) -> dict[str, Column]:
+    """The same from the words of a line."""
+    day = F.get(w, 1)
+    day = F.when((F.size(w) == 5) & day.rlike(r"^\+?[0-9]+$"), day.try_cast("int"))
     ok = day.between(0, 255)
-    names = {"month": 1, "time": 3, "hostname": 4, "rest": 5}
-    out = {n: F.when(ok, _group(line, _HEAD, k)) for n, k in names.items()}
+    out = {n: F.when(ok, F.get(w, k)) for n, k in (("month", 0), ("time", 2), ("hostname", 3), ("rest", 4))}
     return {"month": out["month"], "day": F.when(ok, day), "time": out["time"], "hostname": out["hostname"], "rest": out["rest"]}
 
 
 def service(rest: Column) -> dict[str, Column]:
     """service, pid and message of `service[pid]: message`; null without a colon. A pid that is no
     number is null."""
-    head = F.regexp_extract(rest, r"^([^:]*):", 1)
     has = rest.contains(":")
-    bracket = head.rlike(r"^[^\[]*\[.*\]")
-    pid = F.regexp_extract(head, r"^[^\[]*\[([^\]]*)\]", 1)
+    head = F.substring_index(rest, ":", 1)
+    start = F.instr(head, "[")
+    end = F.position(F.lit("]"), head, start + 1)
+    bracket = (start > 0) & (end > 0)
+    pid = F.substring(head, start + 1, end - start - 1)
     pid = F.when(pid.rlike(r"^\+?[0-9]+$"), pid.try_cast("bigint"))
     return {
-        "service": F.when(has, F.when(bracket, F.regexp_extract(head, r"^([^\[]*)\[", 1)).otherwise(head)),
+        "service": F.when(has, F.when(bracket, F.substring(head, F.lit(1), start - 1)).otherwise(head)),
         "pid": F.when(has & bracket & (pid <= 4294967295), pid),
-        "message": F.when(has, F.regexp_replace(F.regexp_extract(rest, r"(?s)^[^:]*:(.*)$", 1), r"^\s+", "")),
+        "message": F.when(has, F.ltrim(F.substring(rest, F.length(head) + 2, F.length(rest)), F.lit(_SPACE))),
     }
 
 
+def split_lines(lines: DataFrame, column: str) -> DataFrame:
+    """lines that are not blank with _month, _day, _time, _hostname, _rest, _service, _pid, _message."""
+    t = lines.withColumn("_words", words(F.col(column))).where(F.col("_words")[0] != "")
+    t = t.withColumns({f"_{k}": v for k, v in fields_of(F.col("_words")).items()}).drop("_words")
+    return t.withColumns({f"_{k}": v for k, v in service(F.col("_rest")).items()})
+
+
 def classify(m: Column) -> Column:
     """The class of a message; the first test that holds decides."""
     return (
@@ -79,9 +99,10 @@ def parameters(m: Column) -> dict[str, Column]:
     return {k: F.when(ok, parameter(m, k)) for k in ("rhost", "user", "uid", "euid", "tty", "ruser")}
 
 
-def extracts(m: Column) -> dict[str, Column]:
-    """What the other classes carry: session user, address and name of a peer, exit code, status."""
-    kind = classify(m)
+def extracts(m: Column, kind: Column | None = None) -> dict[str, Column]:
+    """What the other classes carry: session user, address and name of a peer, exit code, status. kind: the
+    class of the message, where it is known."""
+    kind = classify(m) if kind is None else kind
     ftp = F.regexp_extract(m, r"connection from ([^ (]*)", 1)
     return {
         "session_user": F.when(kind.isin("sess_open", "sess_close") & m.contains("for user "), F.regexp_extract(m, r"for user ([^ ]*)", 1)),
@@ -95,17 +116,14 @@ def extracts(m: Column) -> dict[str, Column]:
 def parse(lines: DataFrame, column: str = "line") -> DataFrame:
     """lines with month, day, time, hostname, service, pid, msg_type, rhost, user and message. A line
     that is none has msg_type parse_error and itself as message; blank lines go."""
-    text = F.col(column)
-    t = lines.where(text.rlike(r"\S"))
-    f = fields(text)
-    t = t.withColumns({f"_{k}": v for k, v in f.items()})
-    s = service(F.col("_rest"))
-    t = t.withColumns({f"_{k}": v for k, v in s.items()})
-    ok, m = F.col("_message").isNotNull(), F.col("_message")
-    user = F.coalesce(parameters(m)["user"], extracts(m)["session_user"])
+    t = split_lines(lines, column)
+    m = F.col("_message")
+    t = t.withColumn("_kind", classify(m))
+    ok, kind = m.isNotNull(), F.col("_kind")
+    user = F.coalesce(parameters(m)["user"], extracts(m, kind)["session_user"])
     out = {k: F.when(ok, F.col(f"_{k}")) for k in ("month", "day", "time", "hostname", "service", "pid")}
-    out |= {"msg_type": F.when(ok, classify(m)).otherwise("parse_error"), "rhost": F.when(ok, parameters(m)["rhost"]), "user": F.when(ok, user), "message": F.when(ok, m).otherwise(F.regexp_replace(text, r"^\s+|\s+$", ""))}
-    return t.withColumns(out).drop(*[f"_{k}" for k in (*f, *s)])
+    out |= {"msg_type": F.coalesce(kind, F.lit("parse_error")), "rhost": parameters(m)["rhost"], "user": user, "message": F.when(ok, m).otherwise(F.btrim(F.col(column), F.lit(_SPACE)))}
+    return t.withColumns(out).drop(*[c for c in t.columns if c.startswith("_") and c not in lines.columns])
 
 
 def render(row: dict[str, Column]) -> Column:
@@ -148,10 +166,8 @@ def _clock(t: Column) -> dict[str, Column]:
 def compact(lines: DataFrame, column: str = "line") -> DataFrame:
     """lines with mon, day, hour, minute, second, service, pid, code, v1, v2 and parsed, which is false
     where the line is none (then all are null and the code is `?`)."""
-    t = lines.where(F.col(column).rlike(r"\S"))
-    f = fields(F.col(column))
-    t = t.withColumns({f"_{k}": v for k, v in f.items()})
-    t = t.withColumns({f"_{k}": v for k, v in service(F.col("_rest")).items()} | {f"_{k}": v for k, v in _clock(F.col("_time")).items()})
+    t = split_lines(lines, column)
+    t = t.withColumns({f"_{k}": v for k, v in _clock(F.col("_time")).items()})
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.col("_month")) - 1
     ok = F.col("_message").isNotNull() & (month >= 0) & F.col("_hour").between(0, 255) & F.col("_minute").between(0, 255) & F.col("_second").between(0, 255)
     ok = F.coalesce(ok, F.lit(False))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colpattern.operators.rows import global_rank
-from colpattern.storage import cut
+from colpattern.storage import cut, maybe_broadcast
 
 
 def detect_format(name: Column, content: Column) -> Column:
@@ -22,7 +22,7 @@ def detect_format(name: Column, content: Column) -> Column:
     )
 
 
-# ---------------------------------------------------------------- CSV
+# ------------------------------------------------ CSV
 def read_csv(spark: SparkSession, path: str, rid: str = "rid") -> DataFrame:
     """A CSV file with a header: all columns as text, with the row index. A row with too few or too many
     fields is an error. Quoted fields may hold line ends, so a file is one task's work."""
@@ -58,17 +58,19 @@ def write_csv(df: DataFrame, path: str, rid: str = "rid") -> None:
     out.write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue='""' if single else "", quote='"', escape='"')
 
 
-# ---------------------------------------------------------------- JSON
+# ------------------------------------------------ JSON
+def exploded(df: DataFrame, column: str) -> DataFrame:
+    """df with pos, key and value of every element of a column of JSON objects or arrays (variant)."""
+    return df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(column).outer()))
+
+
 def flatten(objects: DataFrame, keys: Sequence[str], column: str = "v") -> DataFrame:
     """(*keys, path, kind, v) of every leaf of a column of JSON objects (variant): nested objects give
     dotted paths, arrays stay JSON text. One pass per level of nesting; an empty object has no leaf."""
-    spark = objects.sparkSession
     level = objects.select(*keys, F.lit("").alias("prefix"), F.col(column).alias("v"))
     found = None
     while True:
-        level.createOrReplaceTempView("_colpattern_level")
-        names = ", ".join(f"`{k}`" for k in keys)
-        parts = spark.sql(f"SELECT {names}, concat(prefix, key) AS path, value AS v, schema_of_variant(value) AS t FROM _colpattern_level, LATERAL variant_explode(v)")
+        parts = exploded(level, "v").select(*keys, F.concat("prefix", "key").alias("path"), F.col("value").alias("v"), F.schema_of_variant("value").alias("t"))
         parts = cut(parts.withColumn("nested", F.col("t").startswith("OBJECT")))
         leaves = parts.where("not nested")
         found = leaves if found is None else found.unionByName(leaves)
@@ -86,11 +88,13 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"\S"))
     whole = whole.select(F.parse_json("value").alias("doc"), F.schema_of_variant(F.parse_json("value")).alias("t"))
     checked = whole.select(F.when(F.col("t").startswith("ARRAY"), F.col("doc")).otherwise(F.raise_error(F.lit("the document is not an array")).cast("variant")).alias("doc"))
-    checked.createOrReplaceTempView("_colpattern_json")
-    rows = spark.sql("SELECT pos AS rid, value AS v, schema_of_variant(value) AS t FROM _colpattern_json, LATERAL variant_explode(doc)")
+    rows = exploded(checked, "doc").select(F.col("pos").alias("rid"), F.col("value").alias("v"), F.schema_of_variant("value").alias("t"))
     rows = rows.select(F.col("rid").cast("long"), F.when(F.col("t").startswith("OBJECT"), F.col("v")).otherwise(F.raise_error(F.lit("the array holds something else than objects")).cast("variant")).alias("v"))
     cells = flatten(rows, ["rid"]).withColumnRenamed("path", "col_name")
-    grid = rows.select("rid").crossJoin(F.broadcast(cells.select("col_name").distinct()))
+    names = sorted(r["col_name"] for r in cells.select("col_name").distinct().collect())  # the columns of the table
+    if not names:
+        return cells.select("col_name", "rid", "kind", "v")
+    grid = rows.select("rid", F.explode(F.array(*map(F.lit, names))).alias("col_name"))
     return grid.join(cells, ["rid", "col_name"], "left").select("col_name", "rid", F.coalesce("kind", F.lit("null")).alias("kind"), F.coalesce("v", F.lit("\\0")).alias("v"))
 
 
@@ -99,7 +103,7 @@ def with_column_index(cells: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
     names = cells.select("col_name").distinct().withColumn("col_idx", F.row_number().over(Window.orderBy("col_name")) - 1)
-    return cells.join(F.broadcast(names), "col_name")
+    return cells.join(maybe_broadcast(cut(names)), "col_name")
 
 
 def json_rows(df: DataFrame, rid: str = "rid") -> DataFrame:
@@ -130,7 +134,7 @@ def json_array(df: DataFrame, rid: str = "rid") -> str:
     return "[" + ",".join(r["json"] for r in json_rows(df, rid).orderBy(rid).collect()) + "]"
 
 
-# ---------------------------------------------------------------- log lines, memory
+# ------------------------------------------------ log lines, memory
 def read_lines(spark: SparkSession, path: str, rid: str = "rid") -> DataFrame:
     """(line, rid) of a text file or folder, in file order."""
     return _numbered(spark.read.text(path).withColumnRenamed("value", "line"), rid)

@@ -13,9 +13,12 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, as in tests, a folder of this
+    machine, unless executors run on others: then that is an error."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_colpattern_shared", None)
+    if not at and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not at:
         at = sc._colpattern_shared = "file://" + tempfile.mkdtemp(prefix="colpattern-")
     if sc.getCheckpointDir() is None:
