@@ -314,7 +314,7 @@ def media_columns(images: DataFrame, key: str = "page_id", image: str = "image")
     return own.mapInArrow(_describe, SCHEMA).withColumnRenamed("id", key)
 
 
-# ---------------------------------------------------------------- encoder, for tables without images
+# ------------------------------------------------ encoder, for tables without images
 def _huffman(counts: list[int], symbols: list[int]) -> tuple[bytes, np.ndarray, np.ndarray]:
     table = bytes(counts) + bytes(symbols)
     codes, lengths = np.zeros(256, np.int64), np.zeros(256, np.int64)

@@ -13,7 +13,7 @@ Defined results: a text that is null, empty or has no n-gram (fewer than four by
 letters) is `und` with rate 0 and is rejected; with ties the language that sorts first wins;
 repeated rows are classified alike; rows with a null doc_id are classified too; rows without
 lang only don't train. Without any labelled row every document is `und`. An empty table gives
-an empty result. More than 64 languages raise ValueError.
+an empty result. More than 64 languages take several masks.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ PER_LANG = 1000
 GRAMS = 16_384
 #: log2 of the slots, and hash functions of each filter.
 SLOT_BITS, HASHES = 18, 3
+#: Languages of a mask.
+WORD = 64
 #: A document whose best corrected rate is below this is rejected.
 MIN_RATE = 0.25
 
@@ -67,19 +69,18 @@ def grams_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Model:
-    """The bit-sliced filter: slots[h] has a bit for each language."""
+    """The bit-sliced filter: a slot has a bit for each language, in words of WORD languages."""
 
     def __init__(self, langs: list[str], grams: list[np.ndarray], slot_bits: int = SLOT_BITS, hashes: int = HASHES):
-        if len(langs) > 64:
-            raise ValueError(f"{len(langs)} languages; a mask has 64 bits")
         self.langs, self.slot_bits, self.hashes = langs, slot_bits, hashes
-        kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(langs) <= n)
-        self.slots = np.zeros(1 << slot_bits, kind)
+        kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 1 << 62)) if len(langs) <= n)
+        self.slots = [np.zeros(1 << slot_bits, kind) for _ in range(0, max(1, len(langs)), WORD)]
         self.false = np.zeros(len(langs))
         for k, own in enumerate(grams):
+            slots, bit = self.slots[k // WORD], kind(1 << k % WORD)
             for at in self.places(np.asarray(own, np.uint32)):
-                self.slots[at] |= kind(1 << k)
-            full = np.count_nonzero(self.slots & kind(1 << k)) / len(self.slots)
+                slots[at] |= bit
+            full = np.count_nonzero(slots & bit) / len(slots)
             self.false[k] = full**hashes
 
     def places(self, g: np.ndarray) -> list[np.ndarray]:
@@ -89,12 +90,12 @@ class Model:
         keep = np.uint64((1 << self.slot_bits) - 1)
         return [(h >> np.uint64(64 - (k + 1) * self.slot_bits)) & keep for k in range(self.hashes)]
 
-    def masks(self, g: np.ndarray) -> np.ndarray:
-        """For each n-gram the set of the languages that contain it."""
+    def masks(self, g: np.ndarray, word: int = 0) -> np.ndarray:
+        """For each n-gram the set of the languages that contain it, of those in a word of WORD bits."""
         first, *rest = self.places(g)
-        m = self.slots[first]
+        m = self.slots[word][first]
         for at in rest:
-            m &= self.slots[at]
+            m &= self.slots[word][at]
         return m
 
     def classify(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,12 +109,13 @@ class Model:
             total[i:j] = np.diff(first)
             if not self.langs or not len(g):
                 continue
-            masks = self.masks(g)
             some = total[i:j] > 0
             at, count = first[:-1][some], total[i:j][some]
             rates = np.empty((len(self.langs), len(at)))
             for k in range(len(self.langs)):
-                hits = np.add.reduceat((masks >> masks.dtype.type(k)) & masks.dtype.type(1), at, dtype=np.int64)
+                if k % WORD == 0:
+                    masks = self.masks(g, k // WORD)
+                hits = np.add.reduceat((masks >> masks.dtype.type(k % WORD)) & masks.dtype.type(1), at, dtype=np.int64)
                 rates[k] = np.maximum(0, (hits / count - self.false[k]) / (1 - self.false[k]))
             top = rates.argmax(0)
             best[i:j][some], rate[i:j][some] = top, rates[top, np.arange(len(at))]

@@ -22,6 +22,7 @@ a task without rows writes no file; an empty table gives no files and an empty r
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from functools import lru_cache
@@ -32,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colpattern.llm.common import batch, spread, text_of, tidy
+from colpattern.llm.common import batch, cut, spread, text_of, tidy
 from colpattern.llm.tokens import TOKENIZER, encoding
 
 MASK_DELTA = 0xA282EAD8
@@ -45,7 +46,7 @@ _INDEX = pa.schema([("shard", pa.string()), ("record", pa.int64()), ("doc_id", p
 IDX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("n_tokens", "<u8")])
 
 
-# ---------------------------------------------------------------- CRC-32C
+# ------------------------------------------------ CRC-32C
 @lru_cache(maxsize=1)
 def _tables() -> np.ndarray:
     """tables[k][b]: the register after byte b and then k zero bytes."""
@@ -118,7 +119,7 @@ def masked(crc: np.ndarray) -> np.ndarray:
     return ((c >> np.uint32(15)) | (c << np.uint32(17))) + np.uint32(MASK_DELTA)
 
 
-# ---------------------------------------------------------------- writing
+# ------------------------------------------------ writing
 def frame(payloads: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """(the framed records, offsets, lengths with frame, CRC-32C of the data)."""
     n = np.array([len(p) for p in payloads], np.int64)
@@ -151,6 +152,10 @@ def deserialise(data: bytes) -> tuple[int | None, np.ndarray]:
     return (None if doc_id == NO_ID else doc_id), np.frombuffer(data, "<u2" if data[8] == 2 else "<u4", offset=9).astype(np.uint32)
 
 
+#: What a complete set of shards has beside them.
+MANIFEST = "_manifest.json"
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if ":" in path.split("/")[0] else "file://" + os.path.abspath(path))
 
@@ -192,13 +197,32 @@ def _writer(path: str, tokenizer: str, rows: int):
 
 
 def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, rows: int = 512) -> DataFrame:
-    """Tokenise docs and write shards to the folder `path` (a URI all executors reach). Lazy: the
-    shards are written as the returned index rows (shard, record, doc_id, offset, length,
-    n_tokens, crc) are read; `length` is the whole frame, `crc` the unmasked CRC-32C of the data."""
-    return text_of(docs).mapInArrow(tidy(_writer(path, tokenizer, rows)), INDEX)
+    """Tokenise docs and write shards to the folder `path` (a URI all executors reach), then a manifest of the
+    shards, so that a set without one is incomplete. Returns the index rows (shard, record, doc_id,
+    offset, length, n_tokens, crc), which are kept: reading them, or a part of them, writes
+    nothing again. `length` is the whole frame, `crc` the unmasked CRC-32C of the data."""
+    got = cut(text_of(docs).mapInArrow(tidy(_writer(path, tokenizer, rows)), INDEX))
+    shards = got.groupBy("shard").agg(F.count("*").alias("records"), F.sum("length").alias("bytes")).collect()  # a row for each task
+    fs, root = filesystem(path)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
+        f.write(json.dumps({r["shard"]: [r["records"], r["bytes"]] for r in shards}, sort_keys=True).encode())
+    return got
+
+
+def check(path: str) -> None:
+    """ValueError unless the folder holds the shards of its manifest, with the bytes these have there."""
+    fs, root = filesystem(path)
+    if fs.get_file_info(f"{root}/{MANIFEST}").type != pafs.FileType.File:
+        raise ValueError(f"{path} has no manifest: writing did not end")
+    with fs.open_input_file(f"{root}/{MANIFEST}") as f:
+        want = json.loads(f.read())
+    there = {f.base_name: f.size for f in fs.get_file_info(pafs.FileSelector(root)) if f.extension in ("rec", "idx") and not f.base_name.startswith("_")}
+    if {f"{s}.rec": size for s, (_, size) in want.items()} | {f"{s}.idx": n * IDX.itemsize for s, (n, _) in want.items()} != there:
+        raise ValueError(f"the shards in {path} are not those of its manifest")
 
 
-# ---------------------------------------------------------------- reading
+# ------------------------------------------------ reading
 def unframe(buf: bytes) -> bytes:
     """The data of one framed record; ValueError where a length or checksum is wrong."""
     a = np.frombuffer(buf, np.uint8)
@@ -246,8 +270,9 @@ def _index_rows(batches):
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """The index rows of all shards in `path`, read from the .idx files alone (crc is null)."""
+    check(path)
     fs, root = filesystem(path)
-    at = [(f.path if isinstance(fs, pafs.LocalFileSystem) else f"{path.rstrip('/')}/{f.base_name}",) for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.extension == "idx"]
+    at = [(f.path if isinstance(fs, pafs.LocalFileSystem) else f"{path.rstrip('/')}/{f.base_name}",) for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.extension == "idx" and not f.base_name.startswith("_")]
     return spark.createDataFrame(at, "at string").repartition(max(1, min(len(at), 4096))).mapInArrow(_index_rows, INDEX)
 
 

@@ -2,10 +2,10 @@
 
 One Aho-Corasick automaton finds all terms of a URL in one pass. A hit counts when it stands
 between boundaries: the characters beside it are not ASCII letters or digits (so "ads" is in
-"ads-track" but not in "leads"). A URL is rejected on `strict` hits of strict terms or on
+"ads-track" but not in "leads"). The vocabulary is a file, whose path is a parameter of `load`. A URL is rejected on `strict` hits of strict terms or on
 `soft` *distinct* soft terms.
 
-Defined results: matching ignores case and takes the URL as it is written (nothing is decoded);
+Defined results: matching ignores the case of ASCII letters and takes the URL as it is written (nothing is decoded);
 a null or empty URL has no hits and is kept; repeated rows are judged alike; rows with a null
 page_id are judged too; an empty table gives an empty result. A term that is both strict and
 soft is strict. Terms are runs of ASCII letters and digits.
@@ -14,15 +14,32 @@ soft is strict. Terms are runs of ASCII letters and digits.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STRICT = ("casino", "bets", "betting", "gambling", "pills", "viagra", "porn", "xxx", "escort", "warez")
-SOFT = ("ads", "track", "tracker", "popup", "click", "cheap", "free", "win", "bonus", "deal", "loan", "coupon", "prize", "promo", "cash")
+#: The default vocabulary: a term and its kind, strict or soft, on each line.
+VOCABULARY = Path(__file__).with_name("url_terms.txt")
+
+
+def load(path: str | Path = VOCABULARY) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict terms, soft terms) of a file with `term kind` lines; # begins a comment."""
+    terms: dict[str, list[str]] = {"strict": [], "soft": []}
+    for line in Path(path).read_text().splitlines():
+        words = line.partition("#")[0].split()
+        if words:
+            if len(words) != 2 or words[1] not in terms:
+                raise ValueError(f"not a term and its kind: {line}")
+            terms[words[1]].append(words[0])
+    return tuple(terms["strict"]), tuple(terms["soft"])
+
+
+STRICT, SOFT = load()
 #: Strict hits, and distinct soft terms, that reject a URL.
 STRICT_HITS, SOFT_TERMS = 1, 2
 
@@ -85,7 +102,7 @@ def judge_sql(strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, strict
     """The same in DuckDB SQL: between boundaries, a hit is a whole run of letters and digits."""
     hard, mild = ", ".join(f"'{w}'" for w in strict), ", ".join(f"'{w}'" for w in soft if w not in strict)
     return f"""
-        WITH t AS (SELECT page_id, url, string_split_regex(lower(coalesce(url, '')), '[^a-z0-9]+') AS w FROM pages),
+        WITH t AS (SELECT page_id, url, string_split_regex(translate(coalesce(url, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^a-z0-9]+') AS w FROM pages),
         c AS (SELECT page_id, url, len(list_filter(w, lambda x: x IN ({hard})))::BIGINT AS strict_hits,
                      len(list_filter(w, lambda x: x IN ({mild})))::BIGINT AS soft_hits,
                      len(list_distinct(list_filter(w, lambda x: x IN ({mild}))))::BIGINT AS soft_terms FROM t)

@@ -169,7 +169,7 @@ def accuracies(prob: np.ndarray, prior: float) -> np.ndarray:
     return right / (right + (1 - prior) * prob[:, 0, GOOD] + prior * prob[:, 1, BAD])
 
 
-# ---------------------------------------------------------------- features
+# ------------------------------------------------ features
 def features(t: _Texts, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets of the byte trigrams, their rows, [rows, LAGS] shares of words that recur at each
     distance). Trigrams that begin in a recurring word are left out: it counts as recurring only."""

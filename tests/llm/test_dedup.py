@@ -210,7 +210,7 @@ def test_near_duplicates_odd_cases(docs, odd):
     assert omh.drop_near_duplicates(docs([])).count() == 0
 
 
-# ---------------------------------------------------------------- repeated passages
+# ------------------------------------------------ repeated passages
 def test_cover():
     assert substring.is_cover(substring.PERIOD, substring.COVER)
     assert not substring.is_cover(31, (1, 2, 3))

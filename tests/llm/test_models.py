@@ -10,7 +10,7 @@ from colpattern.llm import langid, urls, weak
 SF = "/root/testdata/sf0.01"
 
 
-# ---------------------------------------------------------------- language
+# ------------------------------------------------ language
 def test_held_out_languages(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(d.where("doc_id % 2 = 0"), per_lang=40)
@@ -27,8 +27,25 @@ def test_masks_hold_all_languages_of_a_gram():
     far = m.masks(np.arange(10_000, 60_000, dtype=np.uint32))
     for k in range(2):  # what the correction takes off is what the filter really lets through
         assert np.mean((far >> k) & 1) == pytest.approx(m.false[k], rel=0.3)
-    with pytest.raises(ValueError):
-        langid.Model([str(i) for i in range(65)], [a] * 65)
+    many = langid.Model([str(i) for i in range(130)], [a + 1000 * i for i in range(130)], slot_bits=18)
+    assert len(many.slots) == 3
+    for i in (0, 63, 64, 129):
+        assert all((many.masks(a + 1000 * i, i // 64) >> np.uint64(i % 64)) & np.uint64(1))
+
+
+def test_decisions_match_sets():
+    """The classification against sets of n-grams: rates differ by no more than chance hits do."""
+    texts = ["the house and the garden are here", "das haus und der garten sind hier", "la casa y el jardin", "the garten sind hier", "zzz", None, ""]
+    data, off = langid.buffers(pa.array(texts))
+    g, first = langid.grams_of(data, off)
+    own = [set(g[first[i] : first[i + 1]].tolist()) for i in range(3)]
+    model = langid.Model(["de", "en", "es"], [np.array(sorted(own[i]), np.uint32) for i in (1, 0, 2)])
+    best, rate, total = model.classify(pa.array(texts))
+    for i in range(len(texts)):
+        grams = g[first[i] : first[i + 1]].tolist()
+        rates = [sum(x in own[j] for x in grams) / max(1, len(grams)) for j in (1, 0, 2)]
+        assert total[i] == len(grams) and rate[i] == pytest.approx(max(rates), abs=0.01)
+        assert best[i] == (int(np.argmax(rates)) if max(rates) > 0 else -1)
 
 
 def test_grams_stay_inside_their_texts():
@@ -51,7 +68,7 @@ def test_language_odd_cases(docs, odd):
     assert {r["lang_id"] for r in langid.identify(docs([(1, "some text", None)])).collect()} == {"und"}
 
 
-# ---------------------------------------------------------------- quality
+# ------------------------------------------------ quality
 def test_quality_follows_the_labels(spark):
     d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     rows = weak.score(d).join(labels, "doc_id").collect()
@@ -113,8 +130,8 @@ def test_quality_odd_cases(docs, odd):
     assert weak.score(docs([])).count() == 0
 
 
-# ---------------------------------------------------------------- URLs
-CASES = [("https://www.casino-win.example.org/en/14", False), ("http://casinos.example.org", True), ("http://a.org/leads/trackers", True), ("http://ads-track.example.org", False), ("http://ads.example.org/ads/ads", True), ("HTTP://X.ORG/CHEAP/PILLS", False), ("http://x.org/free%20win", False), ("", True), (None, True), ("ads", True), ("http://ücasino.org", False), ("http://x.org/" + "a" * 100_000 + "/casino", False)]
+# ------------------------------------------------ URLs
+CASES = [("https://www.casino-win.example.org/en/14", False), ("http://casinos.example.org", True), ("http://a.org/leads/trackers", True), ("http://ads-track.example.org", False), ("http://ads.example.org/ads/ads", True), ("HTTP://X.ORG/CHEAP/PILLS", False), ("http://x.org/free%20win", False), ("", True), (None, True), ("ads", True), ("http://ücasino.org", False), ("http://x.org/PIL\u212a/\u212aeygen/c\u212aick", True), ("http://x.org/" + "a" * 100_000 + "/casino", False)]
 
 
 def test_url_cases():
@@ -126,6 +143,15 @@ def test_url_cases():
         urls.automaton(["a-b"], [])
 
 
+def test_vocabulary_files(tmp_path):
+    (tmp_path / "terms").write_text("# terms\nbad strict\n\nso soft # a comment\n")
+    assert urls.load(tmp_path / "terms") == (("bad",), ("so",))
+    (tmp_path / "terms").write_text("bad mild\n")
+    with pytest.raises(ValueError):
+        urls.load(tmp_path / "terms")
+    assert len(urls.STRICT) > 30 and len(urls.SOFT) > 40 and not set(urls.STRICT) & set(urls.SOFT)
+
+
 def test_urls_match_sql(spark):
     rows = [(i, u, "h", True) for i, (u, _) in enumerate(CASES)] + [(None, "http://casino.org", "h", True), (3, "http://ads-track.example.org", "h", False)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, keep boolean")

@@ -10,7 +10,7 @@ import corpus_pipeline
 from colpattern.llm import curriculum, packing
 
 
-# ---------------------------------------------------------------- curriculum
+# ------------------------------------------------ curriculum
 def test_inverse_of_the_integral(spark):
     from pyspark.sql import functions as F
 
@@ -70,7 +70,7 @@ def test_curriculum_odd_cases(docs, odd):
         curriculum.schedule(df, schedules={"a": [1]})
 
 
-# ---------------------------------------------------------------- packing
+# ------------------------------------------------ packing
 def test_patterns():
     got = packing.patterns(6, 3)
     assert sorted(got) == sorted({tuple(sorted((a, b, c), reverse=True)) for a in range(7) for b in range(7) for c in range(7) if a + b + c == 6} and {tuple(x for x in sorted((a, b, c), reverse=True) if x) for a in range(7) for b in range(7) for c in range(7) if a + b + c == 6})
@@ -133,7 +133,7 @@ def test_packing_odd_cases(docs, odd):
     assert packing.pack(docs([])).count() == 0
 
 
-# ---------------------------------------------------------------- pipeline
+# ------------------------------------------------ pipeline
 def test_packs_meet_the_weights_over_time(spark, docs, tmp_path, monkeypatch):
     monkeypatch.setattr(packing, "SLICE", 300)
     rng = random.Random(6)

@@ -59,6 +59,24 @@ def test_damage_is_found(spark, docs, tmp_path):
             records.unframe(bytes(bad))
 
 
+def test_sets_are_written_once_and_whole(spark, docs, tmp_path):
+    at = f"file://{tmp_path}/out"
+    got = records.write(docs([(i, f"text number {i}") for i in range(40)]).repartition(4), at)
+    times = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "out").iterdir()}
+    assert len(got.limit(3).collect()) == 3 and got.count() == 40
+    assert times == {f.name: f.stat().st_mtime_ns for f in (tmp_path / "out").iterdir()}
+    shard = next((tmp_path / "out").glob("*.rec"))
+    whole = shard.read_bytes()
+    shard.write_bytes(whole[:-1])
+    with pytest.raises(ValueError):
+        records.read(spark, at)
+    shard.write_bytes(whole)
+    assert records.read(spark, at).count() == 40
+    (tmp_path / "out" / records.MANIFEST).unlink()
+    with pytest.raises(ValueError):
+        records.index(spark, at)
+
+
 def test_nothing_to_write(spark, docs, tmp_path):
     at = f"file://{tmp_path}/none"
     assert records.write(docs([]), at).count() == 0

@@ -73,7 +73,7 @@ def test_boxes_descend_to_every_near_cell():
     assert set(zip(row.tolist(), cell.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(ann.gaps(q, mins, maxs) <= reach[:, None])), strict=True))
 
 
-# ---------------------------------------------------------------- JPEG
+# ------------------------------------------------ JPEG
 def means(data):
     n = max(1, -(-len(data) // 64))
     across = int(np.ceil(np.sqrt(n)))
@@ -97,6 +97,43 @@ def test_thumbnail_is_the_picture(kind):
     assert row[:6] == ("ok", img.width, img.height, 1 if kind % 3 == 0 else 3, w, h)
 
 
+@pytest.mark.parametrize(("grey", "quality", "noise"), [(True, 0.9, 60), (False, 0.3, 60), (False, 1.0, 127), (False, 0.75, 3)])
+def test_images_of_another_encoder(spark, grey, quality, noise):
+    """Pictures that the JVM's encoder writes, with all their coefficients, against its own decoding."""
+    jvm = spark._jvm
+    rng = np.random.default_rng(4)
+    h, w = 75, 101
+    base = 128 + 90 * np.sin(np.arange(w) / 17)[None, :] * np.cos(np.arange(h) / 11)[:, None]
+    rgb = np.clip(base[:, :, None] * (1 if grey else np.array([1, 0.8, 0.5])) + rng.integers(-noise, noise + 1, (h, w, 1 if grey else 3)), 0, 255).astype(np.int64)
+    rgb = np.broadcast_to(rgb, (h, w, 3))
+    img = jvm.java.awt.image.BufferedImage(w, h, 10 if grey else 1)
+    if grey:
+        for y in range(h):
+            for x in range(w):
+                img.getRaster().setSample(x, y, 0, int(rgb[y, x, 0]))
+    else:
+        for y in range(h):
+            for x in range(w):
+                img.setRGB(x, y, int(rgb[y, x, 0] << 16 | rgb[y, x, 1] << 8 | rgb[y, x, 2]))
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpg").next()
+    param = writer.getDefaultWriteParam()
+    param.setCompressionMode(2)
+    param.setCompressionQuality(quality)
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(img, None, None), param)
+    stream.flush()
+    data = bytes(out.toByteArray())
+    luma = rgb[:, :, 0] if grey else rgb @ np.array([0.299, 0.587, 0.114])
+    means = luma[: h // 8 * 8, : w // 8 * 8].reshape(h // 8, 8, w // 8, 8).mean((1, 3))
+    parsed = jpeg.parse(data)
+    thumb = jpeg.decode([parsed])[0]
+    assert (parsed.width, parsed.height, len(parsed.components)) == (w, h, 1 if grey else 3) and thumb.shape == (-(-h // 8), -(-w // 8))
+    assert np.abs(thumb[: h // 8, : w // 8] - means).max() <= (1.5 if quality >= 0.75 else 4)
+    assert jpeg.describe([data, data])[1][:3] == ("ok", w, h)
+
+
 def test_images_of_a_group_do_not_disturb_each_other():
     blobs = [jpeg.picture(bytes([k]) * (200 * k + 1), k) for k in range(40)]
     assert jpeg.describe(blobs) == [jpeg.describe([b])[0] for b in blobs]
