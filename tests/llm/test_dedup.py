@@ -284,14 +284,32 @@ def test_repeats_odd_cases(docs, odd):
         substring.spans(df, cover=(1, 2, 3))
 
 
+def test_hot_passages(docs, monkeypatch):
+    """A passage that every document holds twice, its hashes taken for hot and not; others are shared by few."""
+    hot, rare = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    rows = [(i, f"{hot} only{i} {hot}" + (f" and {i} {rare}" if i in (3, 9, 27) else "")) for i in range(30)]
+    want = sorted(map(tuple, substring.spans(docs(rows)).collect()))
+    found = []
+    plain = substring._hot
+    monkeypatch.setattr(substring, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(substring, "HOT_ROWS", 20)
+    monkeypatch.setattr(substring, "_hot", lambda rows: found.append(plain(rows)) or found[-1])
+    assert sorted(map(tuple, substring.spans(docs(rows)).collect())) == want
+    assert len(found) == 2 and all(len(h.hashes) for h in found) and found[1].salts > 1
+    got = {}
+    for i, start, n, *_ in want:
+        got.setdefault(i, set()).update(range(start, start + n))
+    assert got == covered(rows, substring.LEAST)
+
+
 def test_passage_over_many_batches():
     """A group that reaches over batches, its first document alone in several of them."""
     import numpy as np
 
     def batches():
         for doc in ([1, 1], [1, 1], [1, 2], [2, 3]):
-            yield substring.batch(substring._PLACE, np.full(2, 7, np.int64), np.array(doc, np.int64), np.arange(2, dtype=np.int32))
-        yield substring.batch(substring._PLACE, np.full(2, 8, np.int64), np.array([5, 5], np.int64), np.arange(2, dtype=np.int32))
+            yield substring.batch(substring._PLACE, np.full(2, 7, np.int64), np.zeros(2, np.int32), np.array(doc, np.int64), np.arange(2, dtype=np.int32))
+        yield substring.batch(substring._PLACE, np.full(2, 8, np.int64), np.zeros(2, np.int32), np.array([5, 5], np.int64), np.arange(2, dtype=np.int32))
 
     assert sum(b.num_rows for b in substring._shared(batches())) == 8
     rows = [r for b in substring._repeated(batches()) for r in b.to_pylist()]
