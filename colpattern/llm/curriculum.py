@@ -114,10 +114,18 @@ def place(df: DataFrame, source: str, tokens: Column, ident: str = "doc_id", sch
     return joined.withColumn(t, inverse(area, grid, w, cum)).select(*[f"`{x}`" for x in df.columns], e, t)
 
 
+def _range_sorted(df: DataFrame, *order: str) -> DataFrame:
+    """df as ranges of `order`, each sorted: read one after the other, its partitions are in order."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
 def schedule(docs: DataFrame, **params) -> DataFrame:
-    """(doc_id, source, epoch, n_tokens, position): position is the document's place in [0, 1]."""
+    """(doc_id, source, epoch, n_tokens, position) in training order: position is the document's place in
+    [0, 1]. Rows are range-sorted by the position before it is rounded, which many may share after; ties
+    follow doc_id, epoch, source and n_tokens, so that only equal rows are left tied."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("n_tokens"))
-    got = place(cut(own), "source", F.col("n_tokens"), **params)
+    got = _range_sorted(place(cut(own), "source", F.col("n_tokens"), **params), "_t", "doc_id", "_epoch", "source", "n_tokens")
     return got.select("doc_id", "source", F.col("_epoch").alias("epoch"), "n_tokens", F.round("_t", 6).alias("position"))
 
 
@@ -133,6 +141,4 @@ def in_order(docs: DataFrame, **params) -> DataFrame:
         out = docs.join(maybe_broadcast(placed), F.col("doc_id") == F.col(i)).drop(i)
     else:
         out = place(docs, "source", word_count(F.col("text").cast("string")), **params)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(t), F.col("doc_id"), F.col(e)]
-    return out.repartitionByRange(n, *order).sortWithinPartitions(*order).drop(e, t)
+    return _range_sorted(out, t, "doc_id", e).drop(e, t)

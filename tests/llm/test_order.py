@@ -51,6 +51,19 @@ def test_slices_do_not_matter(docs):
     assert one == two
 
 
+def test_rows_come_in_training_order(spark, docs, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, "w " * rng.randrange(9), "en", "aab"[i % 3]) for i in range(600)] + [(600, "w " * 2_000_000, "en", "b")]  # positions closer than they are rounded
+    df = docs(rows)
+    own = df.selectExpr("doc_id", "source", "size(split(text, 'w')) - 1 AS n_tokens")
+    want = [(r["doc_id"], r["_epoch"]) for r in sorted(curriculum.place(own, "source", own["n_tokens"]).collect(), key=lambda r: (r["_t"], r["doc_id"], r["_epoch"]))]
+    curriculum.schedule(df).write.parquet(str(tmp_path / "order"))
+    files = [spark.read.parquet(str(f)).collect() for f in sorted((tmp_path / "order").glob("part-*"))]
+    got = [r for f in files for r in f]
+    assert [(r["doc_id"], r["epoch"]) for r in got] == want and len(files) > 1
+    assert len({r["position"] for r in got if r["n_tokens"]}) < sum(r["n_tokens"] > 0 for r in got)
+
+
 def test_a_given_budget_cuts_and_repeats(docs):
     rows = [(i, "w w", "en", "a" if i < 10 else "b") for i in range(100)]
     got = curriculum.schedule(docs(rows), schedules={"a": [1, 1, 1], "b": [1, 1, 1]}, total_tokens=100).collect()
