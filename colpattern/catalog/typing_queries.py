@@ -159,7 +159,9 @@ _BYTES = "(event_id * event_id * event_id * 7919 + user_id)"
     WHEN n < 1099511627776 THEN printf('%.2f', n / 1073741824.0::DOUBLE) || ' GB' ELSE printf('%.2f', n / 1099511627776.0::DOUBLE) || ' TB' END AS readable FROM b""",
 )
 def format_bytes(spark, sf):
-    return table(spark, sf, "events").select("event_id", X.format_bytes(F.expr(_BYTES)).alias("readable"))
+    """Sizes that leave 64 bits from event 105,214 on, so they are worked out as decimals."""
+    wide = _BYTES.replace("event_id", "CAST(event_id AS DECIMAL(38,0))", 1)
+    return table(spark, sf, "events").select("event_id", F.expr(wide).alias("n")).select("event_id", X.format_bytes(F.col("n")).alias("readable"))
 
 
 # ---------------------------------------------------------------- sources and sinks

@@ -83,9 +83,25 @@ def escape_name(c: Column) -> Column:
 
 
 def format_bytes(c: Column) -> Column:
-    """A size in readable form: 512 B, 1.50 KB."""
+    """A size in readable form: 512 B, 1.50 KB. c: a whole number, of 64 bits or a decimal."""
     units = ("B", "KB", "MB", "GB", "TB")
-    out = F.format_string("%.2f TB", F.bround(c / float(1024**4), 2))
+    n = c.try_cast("bigint")
+    out = F.format_string("%.2f TB", F.bround(n / float(1024**4), 2))
     for k in (3, 2, 1):
-        out = F.when(c < 1024 ** (k + 1), F.format_string(f"%.2f {units[k]}", F.bround(c / float(1024**k), 2))).otherwise(out)
-    return F.when(c < 1024, F.concat(c.cast("string"), lit(" B"))).otherwise(out)
+        out = F.when(n < 1024 ** (k + 1), F.format_string(f"%.2f {units[k]}", F.bround(n / float(1024**k), 2))).otherwise(out)
+    out = F.when(n < 1024, F.concat(n.cast("string"), lit(" B"))).otherwise(out)
+    return F.when(n.isNull(), _terabytes(c)).otherwise(out)
+
+
+def _terabytes(c: Column) -> Column:
+    """A size beyond 64 bits, which a double would not carry to two digits: the hundredths are whole numbers,
+    ties to the even one."""
+    unit = F.lit(1024**4).cast("decimal(38,0)")
+    c = c.cast("decimal(38,0)")
+    whole = ((c - c % unit) / unit).cast("decimal(38,0)")
+    left = (c % unit).cast("bigint") * 100
+    hundredths, rest = F.floor(left / F.lit(1024**4)), left % 1024**4
+    up = (rest > 1024**4 // 2) | ((rest == 1024**4 // 2) & (hundredths % 2 == 1))
+    hundredths = hundredths + F.when(up, 1).otherwise(0)
+    whole = F.when(hundredths == 100, whole + 1).otherwise(whole).cast("decimal(38,0)")
+    return F.concat(whole.cast("string"), lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), lit(" TB"))
