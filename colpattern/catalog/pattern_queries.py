@@ -10,6 +10,7 @@ from colpattern.operators import dictionary as D
 from colpattern.operators import encode as E
 from colpattern.operators import runs as R
 from colpattern.operators.detect import detect
+from colpattern.storage import cut
 
 # ------------------------------------------------ the detectors in SQL
 _INT = "regexp_matches(trim(v), '^[+-]?[0-9]+$') AND try_cast(trim(v) AS BIGINT) IS NOT NULL"
@@ -239,9 +240,13 @@ _COLSTATS = f"""{_ALL}, {_ENTRIES}, x AS (SELECT col_idx, col_name, sum(strlen(c
 
 
 def _stats(spark, sf):
-    c = I.cells(spark, sf).withColumn("chunk", F.lit(0))
-    entries = D.build(D.frequencies(c, ["chunk"]), ["chunk"])
-    return E.column_stats(E.streams(c, E.choose(c, ["chunk"]), entries, ["chunk"]), ["chunk"])
+    return _sizes(spark, sf)[0]
+
+
+def _sizes(spark, sf):
+    c = I.cells(spark, sf)
+    entries = cut(D.build(D.frequencies(I.cells(spark, sf, I.STRINGS))))
+    return E.sizes(c, entries), entries
 
 
 @query("column_stats", f"{_COLSTATS} SELECT col_name, pattern, value_count, input_bytes, output_bytes, round(input_bytes / output_bytes::DOUBLE, 6) AS ratio, input_bytes - output_bytes AS bytes_saved, output_bytes < input_bytes AS was_compressed FROM z")
@@ -274,5 +279,5 @@ def compression_report(spark, sf):
     SELECT original_size::BIGINT AS original_size, encoded_size::BIGINT AS encoded_size, original_size / encoded_size::DOUBLE < 1.2 AS falls_back FROM t""",
 )
 def ctx_fallback(spark, sf):
-    docs = E.documents(I.cells(spark, sf).withColumn("chunk", F.lit(0)), ["chunk"])
-    return docs.select("original_size", "encoded_size", (F.col("format") == "ctx").alias("falls_back"))
+    """Whether the table as one document would be written plain; its size is found without writing it."""
+    return E.document_size(*_sizes(spark, sf))

@@ -17,10 +17,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colpattern.functions.text import escape
+from colpattern.functions.text import escape, escape_dictionary, escape_name
 from colpattern.operators import dictionary as D
 from colpattern.operators.chunk import COLUMN_DDL, HEAD_DDL, arrow_pass
 from colpattern.operators.detect import MIN_LENGTH, detect
+from colpattern.storage import cut, maybe_broadcast
 
 THRESHOLD = 1.2
 #: Most bytes of values, names and separators that one document takes.
@@ -93,6 +94,33 @@ def streams(cells: DataFrame, chosen: DataFrame, entries: DataFrame, keys: Seque
     )
 
 
+def sizes(cells: DataFrame, entries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """What `column_stats` says of `streams`, for columns of any length: no stream is written, its bytes are
+    added up. Only columns without a pattern are looked up in the dictionary."""
+    by = [*keys, "col_name", "col_idx"]
+    chosen = cut(choose(cells, by[:-1]))  # a row per column
+    coded = D.encode(cells.join(maybe_broadcast(chosen.where("operator IS NULL").select(*by)), by, "left_semi"), entries, keys)
+    size = F.when(F.col("dict_idx").isNotNull(), F.length(F.col("dict_idx").cast("string")) + 1).otherwise(F.octet_length(literal(F.col("v"))))
+    raw = coded.groupBy(*by).agg((F.sum(size) + F.count("*") - 1).alias("_size"), F.count("dict_idx").alias("_refs"))
+    none = F.col("operator").isNull()
+    out = chosen.join(raw, by, "left").withColumn("output_bytes", F.when(none, F.col("_size")).otherwise(F.octet_length("operator")).cast("long"))
+    source = F.col("bytes") + F.col("n") + F.octet_length("col_name")
+    return _effect(out.select(
+        *keys, "col_idx", "col_name", F.when(none, "raw").otherwise(F.col("pattern")).alias("pattern"), F.col("n").alias("value_count"), source.cast("long").alias("input_bytes"), "output_bytes",
+        F.when(none, F.col("_refs")).otherwise(0).cast("long").alias("dict_refs"), F.when(none, F.col("n") - F.col("_refs")).otherwise(0).cast("long").alias("raws"),
+    ))
+
+
+def document_size(stats: DataFrame, entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(original_size, encoded_size, falls_back) of the one document that `documents` would write of a table of any
+    length, from its `sizes` and dictionary."""
+    names = F.sum(F.octet_length(escape_name(F.col("col_name"))) + 1) + F.count("*")
+    body = stats.agg(F.sum("input_bytes").alias("original_size"), (4 + names + F.sum("output_bytes") + F.count("*") - 1).alias("_body"))
+    words = entries.agg(F.coalesce(9 + F.sum(F.octet_length(escape_dictionary(F.col("v"))) + 1), F.lit(0)).alias("_words"))
+    encoded = (F.col("_body") + F.col("_words")).alias("encoded_size")
+    return body.crossJoin(words).select("original_size", encoded).withColumn("falls_back", F.col("original_size") / F.col("encoded_size") < threshold)
+
+
 def documents(cells: DataFrame, keys: Sequence[str], threshold: float = THRESHOLD, min_length: int = MIN_LENGTH, max_entries: int = D.MAX_ENTRIES, compat: bool = False, max_input: int = MAX_INPUT) -> DataFrame:
     """(*keys, format, document, original_size, encoded_size, ratio, dictionary_entries, entries_used,
     columns) of each key's table; columns has a struct for each column.
@@ -107,9 +135,12 @@ def documents(cells: DataFrame, keys: Sequence[str], threshold: float = THRESHOL
 
 def document_stats(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What `column_stats` says, for the columns of `documents`."""
-    c = docs.select(*keys, F.explode("columns").alias("c")).select(*keys, "c.*")
+    return _effect(docs.select(*keys, F.explode("columns").alias("c")).select(*keys, "c.*"))
+
+
+def _effect(stats: DataFrame) -> DataFrame:
     out = F.col("output_bytes")
-    return c.withColumns({"ratio": F.when(out > 0, F.col("input_bytes") / out).otherwise(0.0), "bytes_saved": F.col("input_bytes") - out, "was_compressed": out < F.col("input_bytes")})
+    return stats.withColumns({"ratio": F.when(out > 0, F.col("input_bytes") / out).otherwise(0.0), "bytes_saved": F.col("input_bytes") - out, "was_compressed": out < F.col("input_bytes")})
 
 
 def utilization(docs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from colpattern import catalog
 from colpattern.functions import text as X
+from colpattern.operators import dictionary as Dict
+from colpattern.operators import encode as E
 
 
 def test_sizes_beyond_64_bits(spark):
@@ -22,3 +24,27 @@ def test_format_bytes_of_many_events(spark, tmp_path):
     spark.createDataFrame([(i, i % 7) for i in (0, 5, 99_999, 600_000, 36_000_000)], "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
     got = {r["event_id"]: r["readable"] for r in catalog.queries()["format_bytes"](spark, str(tmp_path)).collect()}
     assert got[5] == "966.68 KB" and got[36_000_000].endswith(" TB") and float(got[600_000][:-3]) == round(7919 * 600_000**3 / 1024**4, 2)
+
+
+def test_sizes_are_those_of_streams(spark):
+    n = 240
+    columns = {
+        "id": [str(i) for i in range(n)], "two words": ["red", "a>b (c)", "red", "007"] * (n // 4), "raw": [f"x{i * i % 17}" for i in range(n)], "once": [f"né {i * 7919 % n}" for i in range(n)],
+        "const": ["same"] * n, "empty": ["\\e", "\\0"] * (n // 2), "mixed": ["12", "x3", "long text that pays"] * (n // 3 - 1) + ["q", "q", "5"],
+    }
+    rows = [(c, name, i, "string" if name != "id" else "integer", v) for c, (name, vs) in enumerate(columns.items()) for i, v in enumerate(vs)]
+    cells = spark.createDataFrame(rows, "col_idx int, col_name string, rid long, kind string, v string")
+    entries = Dict.build(Dict.frequencies(cells))
+    want = E.column_stats(E.streams(cells.withColumn("chunk", F.lit(0)), E.choose(cells.withColumn("chunk", F.lit(0)), ["chunk"]), entries.withColumn("chunk", F.lit(0)), ["chunk"]))
+    got = E.sizes(cells, entries)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    whole = E.documents(cells.withColumn("chunk", F.lit(0)), ["chunk"]).first()
+    size = E.document_size(got, entries).first()
+    assert (size["original_size"], size["encoded_size"], size["falls_back"]) == (whole["original_size"], whole["encoded_size"], whole["format"] == "ctx")
+
+
+def test_no_task_gathers_a_column(spark):
+    """A whole column as one array or one Arrow table is what these queries failed by."""
+    for name in ("ctx_fallback", "column_stats", "compression_stats", "compression_report"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "ApplyInArrow" not in plan and "FlatMapGroups" not in plan, name
