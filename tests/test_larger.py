@@ -1,11 +1,19 @@
 """What tables beyond the smallest bring: numbers that grow out of their types, and columns that no task should hold."""
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from colpattern import catalog
+from colpattern.config import DecodeConfig
+from colpattern.errors import SyntaxProblem
 from colpattern.functions import text as X
 from colpattern.operators import dictionary as Dict
 from colpattern.operators import encode as E
+from colpattern.operators import expand as X2
+from colpattern.plans import codec
+from colpattern.sources import document as D
 
 
 def test_sizes_beyond_64_bits(spark):
@@ -48,3 +56,49 @@ def test_no_task_gathers_a_column(spark):
     for name in ("ctx_fallback", "column_stats", "compression_stats", "compression_report"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_list" not in plan and "ApplyInArrow" not in plan and "FlatMapGroups" not in plan, name
+
+
+def test_operators_of_many_documents_come_in_small_batches():
+    """A batch of 10,000 documents was one table of Python objects: 24 GB of a worker at 6 GB."""
+    text = "!v1\n$default:aa|bb\n#a #b\n" + " ".join(f"x{i}" for i in range(300)) + "|" + " ".join("_0 _1 7".split() * 100)
+    docs = pa.record_batch({"chunk": pa.array(range(50), pa.int64()), "document": pa.array([text] * 50)})
+    got = list(D._parse_rows(iter([docs]), "chunk", "document", DecodeConfig()))
+    assert max(b.num_rows for b in got) <= 600 and sum(b.num_rows for b in got) == 50 * 600
+
+
+def test_shapes_are_those_of_operator_rows(spark):
+    texts = [
+        "!v1\n#a #b\n1>5 x*3 (1>2)*2|p~q*7 _0", "!v1\n$default:aa|b\\|b\n#na\\ me #b\n_0 _1*2 a\\ b -3 4.50|x y 1 2 z", "!v1\n#a\n\\0 \\e é (a~b*3)*2 k *2 7 > 9 u ~ v*2", "!v1\n#a #b\n|", "!v1\n#a\n5>1:-2 0.5 -0.25 007 1e3 a_b a#b a!b\n",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "chunk long, document string")
+    ops = D.parse_documents(docs)
+    want = X2.validate(ops, ["chunk"]).join(X2.info(ops, ["chunk"]), "chunk")
+    got = codec.info(docs)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) and got.count() == 4
+    assert {r["chunk"]: r["document_bytes"] for r in got.collect()} == {i: len(t.encode()) for i, t in enumerate(texts) if i != 3}
+
+
+def test_plain_values_are_read_as_by_the_scanner():
+    """The short way for values that stand alone, against the tokens one by one."""
+    rng = random.Random(3)
+    parts = ["a", "_0", "_12", "_", "7", "-3", "0.5", "1.50", "007", "x*2", "x *2", "1>3", "1 >3", "a~b", "a ~b*3", "(a)*2", "\\0", "\\e", "a\\ b", "é", "a_b", "1a", "-0.5", "1e5", "12345678901234567890123", "\\q7", "b!", "b$c"]
+    for _ in range(500):
+        text = "!v1\n#a #b\n" + rng.choice([" ", "  ", "\t"]).join(rng.choices(parts, k=8)) + "|" + " ".join(rng.choices(parts, k=5)) + rng.choice(["", "\n", " "])
+        slow = D.Parser(text)
+        head = slow.head()
+        slow.s.peek()
+        fast = D.Parser(text)
+        def ops(parser, one_by_one):
+            out = [[]]
+            try:
+                if not one_by_one:
+                    return parser.document().streams
+                while (t := parser.s.next())[0] != "end":
+                    if t[0] == "|":
+                        out.append([])
+                    elif t[0] != "newline":
+                        out[-1].append(parser._element(t))
+                return out
+            except SyntaxProblem as e:
+                return type(e)
+        assert head.schema == ["a", "b"] and ops(fast, False) == ops(slow, True), text
