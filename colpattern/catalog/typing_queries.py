@@ -194,7 +194,7 @@ def _wide(spark, sf):
 def scan_csv_infer(spark, sf):
     """The table written as CSV, read again, and every field typed."""
     at = fresh_path(spark, "csv")
-    T.write_csv(_wide(spark, sf).coalesce(1), at)
+    T.write_csv(_wide(spark, sf), at)
     return C.to_cells(T.read_csv(spark, at), "rid", infer=True).select("rid", "col_name", "kind", "v")
 
 
@@ -235,8 +235,7 @@ def json_flatten(spark, sf):
 
 @query("scan_json_flatten", _FLAT.replace(" AS path", " AS col_name"))
 def scan_json_flatten(spark, sf):
-    """A file that holds one array of objects, written from the table and read again."""
+    """One array of objects, written from the table and read again."""
     at = fresh_path(spark, "json")
-    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rid", "json"))), lambda x: x["json"]), ",")
-    _objects(spark, sf).agg(F.concat(F.lit("["), rows, F.lit("]")).alias("value")).write.text(at)
+    T.write_json(_objects(spark, sf), at)
     return T.read_json(spark, at).select("rid", "col_name", "kind", "v")

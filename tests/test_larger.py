@@ -1,5 +1,6 @@
 """What tables beyond the smallest bring: numbers that grow out of their types, and columns that no task should hold."""
 
+import json
 import random
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from colpattern.operators import encode as E
 from colpattern.operators import expand as X2
 from colpattern.plans import codec
 from colpattern.sources import document as D
+from colpattern.sources import tables as T
 
 
 def test_sizes_beyond_64_bits(spark):
@@ -102,3 +104,35 @@ def test_plain_values_are_read_as_by_the_scanner():
             except SyntaxProblem as e:
                 return type(e)
         assert head.schema == ["a", "b"] and ops(fast, False) == ops(slow, True), text
+
+
+def test_json_array_is_read_in_blocks(spark, tmp_path):
+    """The array was one value of one task. Braces, quotes and escapes stand in strings; blocks end anywhere."""
+    rows = [{"id": i, "s": 'a}{"]\\' * (i % 4), "u": {"n": {}, "m": [i, {"k": "}"}]}} for i in range(300)]
+    (tmp_path / "a.json").write_text(json.dumps(rows, indent=1))
+    (tmp_path / "none.json").write_text(" [ ]\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "701b")
+    try:
+        got = {(r["rid"], r["col_name"]): r["v"] for r in T.read_json(spark, str(tmp_path / "a.json")).collect()}
+        assert T.read_json(spark, str(tmp_path / "none.json")).count() == 0
+        T.write_json(spark.createDataFrame([(r["id"], json.dumps(r)) for r in rows], "rid long, json string"), str(tmp_path / "b"))
+        parts = {(r["rid"], r["col_name"]): r["v"] for r in T.read_json(spark, str(tmp_path / "b")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 900 and parts == got
+    assert all(got[i, "s"] == (rows[i]["s"] or "") or not rows[i]["s"] for i in range(300)) and got[299, "u.m"] == '[299,{"k":"}"}]'
+    assert "".join(p.read_text() for p in sorted((tmp_path / "b").glob("part-*"))).startswith("[{") and len(json.loads("".join(p.read_text() for p in sorted((tmp_path / "b").glob("part-*"))))) == 300
+
+
+def test_rows_of_files_are_numbered_without_a_sort(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.log").write_text("".join(f"{k * 1000 + i}\n" for i in range(1000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "999b")
+    try:
+        t = T.read_lines(spark, str(tmp_path))
+        assert all(int(r["line"]) == r["rid"] for r in t.collect()) and t.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert "rangepartitioning" not in t._jdf.queryExecution().executedPlan().toString()
