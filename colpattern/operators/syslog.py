@@ -9,13 +9,12 @@ several times (so the optimiser leaves it in place), and the rest is found by po
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from colpattern.operators.rows import global_rank
-from colpattern.operators.runs import rle_encode
 from colpattern.storage import cut
 
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -196,26 +195,41 @@ def compact_ids(lines: DataFrame, column: str = "line", rid: str = "rid") -> Dat
 def codec(lines: DataFrame, keys: Sequence[str] = ("chunk",), column: str = "line", rid: str = "rid") -> DataFrame:
     """(*keys, document) of each chunk of lines: tables of services, addresses and users and ten
     run-length coded columns. Host and message text and lines that are none are dropped, as the
-    form defines; `rid` counts from 0 within the keys."""
+    form defines; `rid` gives the order within the keys. A document is one text and so one task's work: lines are
+    shuffled once, by the keys, and each chunk is coded in one Arrow pass."""
     t = compact(lines, column).where("parsed")
     kind = F.col("code")
     ip, user = F.when(kind.isin("A", "F", "S"), F.col("v1")), F.when(kind == "A", F.col("v2")).when(kind.isin("O", "X"), F.col("v1"))
-    t = t.withColumns({"code": F.when(kind == "P", "?").otherwise(kind), "_ip": ip, "_user": user})
-    t = cut(t.withColumn("_row", (F.row_number().over(Window.partitionBy(*keys).orderBy(rid)) - 1).cast("long")))
-    tables, out = {}, t
-    for name in ("service", "_ip", "_user"):
-        first = t.where(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.min("_row").alias("_f"))
-        ids = first.withColumn(f"{name}_id", F.row_number().over(Window.partitionBy(*keys).orderBy("_f", name)) - 1)
-        tables[name] = ids.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(f"{name}_id", F.col(name).alias("v")))), lambda x: x["v"]), "|").alias(f"{name}_table"))
-        out = out.join(ids.drop("_f"), [*keys, name], "left")
-    columns = {"m": "mon", "d": "day", "H": "hour", "M": "minute", "S": "second", "s": "service_id", "p": "pid", "t": "code", "i": "_ip_id", "u": "_user_id"}
-    long = [F.struct(F.lit(k).alias("k"), F.coalesce(F.col(c).cast("string"), F.lit(None if n == "p" else "-1")).alias("v")) for k, (n, c) in enumerate(columns.items())]
-    cells = out.select(*keys, F.col("_row").alias("rid"), F.explode(F.array(*long)).alias("x")).select(*keys, "x.k", "rid", "x.v")
-    coded = rle_encode(cells, [*keys, "k"])
-    names = F.array(*map(F.lit, columns))
-    lines_ = F.transform(F.array_sort(F.collect_list(F.struct("k", "encoded"))), lambda x: F.concat(F.lit("@"), F.element_at(names, x["k"] + 1), F.lit(":"), x["encoded"], F.lit("\n")))
-    body = coded.groupBy(*keys).agg(F.array_join(lines_, "").alias("body"))
-    for table in tables.values():
-        body = body.join(table, list(keys), "left")
-    head = [F.concat(F.lit(f"${tag}:"), F.coalesce(F.col(f"{name}_table"), F.lit("")), F.lit("\n")) for tag, name in (("S", "service"), ("I", "_ip"), ("U", "_user"))]
-    return body.select(*keys, F.concat(F.lit("!L1\n"), *head, F.col("body")).alias("document"))
+    t = t.select(*keys, rid, *_CODED[:5], "service", "pid", F.when(kind == "P", "?").otherwise(kind).alias("code"), ip.alias("_ip"), user.alias("_user"))
+    names = ", ".join(f"`{k}` {t.schema[k].dataType.simpleString()}" for k in keys)
+    return t.groupBy(*keys).applyInArrow(_coded_chunk(list(keys), rid), f"{names}, document string")
+
+
+_CODED = ("mon", "day", "hour", "minute", "second", "service", "pid", "code", "_ip", "_user")
+
+
+def _runs(values: list[str]) -> str:
+    """Run-length coded values, as `rle_encode` writes them."""
+    return "".join(f"{v}*{n} " if n > 2 else f"{v} " * n for v, n in ((v, sum(1 for _ in g)) for v, g in groupby(values)))
+
+
+def _coded_chunk(keys: list[str], rid: str):
+    """The function for applyInArrow over the parsed lines of a key."""
+
+    def run(t):
+        import pyarrow as pa
+
+        t = t.sort_by(rid)
+        tables, body = [], []
+        for name, column in zip("mdHMSsptiu", _CODED, strict=True):
+            values = t.column(column).to_pylist()
+            if column in ("service", "_ip", "_user"):
+                ids = {v: k for k, v in enumerate(dict.fromkeys(v for v in values if v is not None))}
+                tables.append("|".join(ids))
+                values = [ids.get(v) for v in values]
+            none = "-" if name == "p" else "-1"
+            body.append(f"@{name}:" + _runs([none if v is None else str(v) for v in values]) + "\n")
+        head = "".join(f"${tag}:{words}\n" for tag, words in zip("SIU", tables, strict=True))
+        return pa.table({k: t.column(k).combine_chunks().slice(0, 1) for k in keys} | {"document": ["!L1\n" + head + "".join(body)]})
+
+    return run
